@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from echofold.llm import chat_format
+from echofold.llm import chat_format, packing, warc
 
 QUERIES = {
+    "op5_warc": warc.query,
     "op6_chat_format": chat_format.query,
+    "op7_packing": packing.query,
 }
 ORACLE_SQL = {
+    "op5_warc": warc.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
 }
