@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from echofold.llm import chat_format, packing, warc
+from echofold.llm import chat_format, packing, piece_codec, warc
 
 QUERIES = {
+    "op1_piece_codec": piece_codec.query,
     "op5_warc": warc.query,
     "op6_chat_format": chat_format.query,
     "op7_packing": packing.query,
