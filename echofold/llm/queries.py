@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from echofold.llm import chat_format, packing, piece_codec, warc
+from echofold.llm import chat_format, language_id, packing, piece_codec, warc
 
 QUERIES = {
     "op1_piece_codec": piece_codec.query,
     "op5_warc": warc.query,
     "op6_chat_format": chat_format.query,
     "op7_packing": packing.query,
+    "op8_language_id": language_id.query,
 }
 ORACLE_SQL = {
     "op5_warc": warc.ORACLE,
