@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echofold.llm import chat_format, language_id, packing, piece_codec, warc
+from echofold.llm import chat_format, language_id, packing, piece_codec, quartile_digest, warc
 
 QUERIES = {
     "op1_piece_codec": piece_codec.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_chat_format": chat_format.query,
     "op7_packing": packing.query,
     "op8_language_id": language_id.query,
+    "op9_quartile_digest": quartile_digest.query,
 }
 ORACLE_SQL = {
     "op5_warc": warc.ORACLE,
