@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "echofold", shuffle: int | None = None) -> SparkSession:
@@ -21,3 +23,25 @@ def local_session(cpus: int | str = "*", app: str = "echofold", shuffle: int | N
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder that all machines share.
+
+    The folder is the one named by spark.checkpoint.dir; only where that is
+    unset, as in local tests, a local folder is taken.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        top = "file://" + tempfile.gettempdir() + "/echofold-shared"
+    return f"{top.rstrip('/')}/echofold/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: this cuts the lineage.
+
+    A lost executor then costs only its running tasks, never the steps before.
+    """
+    path = shared_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
