@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echofold.session import shared_dir, written
+
+__all__ = ["FOLDS", "fold", "held_out", "parts", "shared_dir", "table", "written"]
+
 #: The share of rows that no model learns from: crc32(doc_id as text) mod FOLDS = 0.
 FOLDS = 5
 
@@ -23,29 +25,6 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession, kind: str) -> str:
-    """A new path in the folder that all machines share.
-
-    The folder is the one named by spark.checkpoint.dir; only where that is
-    unset, as in local tests, a local folder is taken.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.gettempdir() + "/echofold-shared"
-    return f"{top.rstrip('/')}/echofold/{kind}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, kind: str, by: list[str] | None = None) -> DataFrame:
-    """df written as a table in the shared folder and read again: this cuts the lineage.
-
-    A lost executor then costs only its running tasks, never the steps before.
-    """
-    path = shared_dir(df.sparkSession, kind)
-    writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether a row is in the fold that no model learns from; a null id never is."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
