@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echofold.llm import chat_format, language_id, packing, piece_codec, quartile_digest, toxicity, vantage_search, warc
+from echofold.llm import chat_format, language_id, packing, piece_codec, quartile_digest, shingle_join, toxicity, vantage_search, warc
 
 QUERIES = {
     "op1_piece_codec": piece_codec.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_packing": packing.query,
     "op8_language_id": language_id.query,
     "op9_quartile_digest": quartile_digest.query,
+    "op10_shingle_join": shingle_join.query,
 }
 ORACLE_SQL = {
     "op5_warc": warc.ORACLE,
