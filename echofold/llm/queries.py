@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from echofold.llm import chat_format, language_id, packing, piece_codec, quartile_digest, shingle_join, toxicity, vantage_search, warc
+from echofold.llm import chat_format, language_id, packing, piece_codec, quartile_digest, shingle_join, suffix_dedup, toxicity, vantage_search, warc
 
 QUERIES = {
     "op1_piece_codec": piece_codec.query,
     "op2_vantage_search": vantage_search.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_toxicity": toxicity.query,
     "op5_warc": warc.query,
     "op6_chat_format": chat_format.query,
