@@ -263,7 +263,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; lang becomes the prediction. Others go."""
-    trees = ContextTrees(sample(table(spark, sf_dir, "documents")))
+    trees = ContextTrees(sample(docs))
     shared = spark.sparkContext.broadcast(trees)
     names = ["doc_id", "text", "lang", "source", "n_chars"]
 

@@ -492,8 +492,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id. Documents without words stay."""
-    found = components(docs)
-    keep = found.where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
+    """One document of each component: that with the smallest id. Documents without words or id stay."""
+    keep = components(docs).where("doc_id = component_id").select("doc_id").distinct()
     names = ["doc_id", "text", "lang", "source", "n_chars"]
-    return docs.select(*names).join(keep, "doc_id", "left_semi")
+    return docs.select(*names).join(keep, "doc_id", "left_semi").unionByName(docs.select(*names).where("doc_id IS NULL"))

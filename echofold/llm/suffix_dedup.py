@@ -42,7 +42,7 @@ from echofold.llm._packed import from_planes, mix, pack, planes, runs, unpack
 
 LENGTH, GRAM = 50, 24
 #: Windows of a text that are worked on at once, and stretches that are dealt out at once.
-BLOCK, FLUSH = 1 << 19, 1_500_000
+BLOCK, FLUSH = 1 << 18, 600_000
 #: From so many different stretches with one gram on, they are dealt out window by window.
 MANY = 20_000
 LAST_ID = 2**63 - 1
@@ -95,7 +95,8 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = np.flatnonzero(inside & np.append(True, (anchor[1:] != anchor[:-1]) | ~inside[:-1]))
     last = np.flatnonzero(inside & np.append((anchor[1:] != anchor[:-1]) | ~inside[1:], True))
     text = mix(((sums[last + LENGTH] - sums[first]) * back[first]) ^ (last - first).astype(np.uint64))
-    return first, last - first, gram[anchor[first]], text
+    # The smallest hash of many is a small number: it is spread again before buckets are made of it.
+    return first, last - first, mix(gram[anchor[first]] + np.uint64(1)), text
 
 
 EXCHANGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])

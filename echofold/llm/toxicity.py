@@ -381,7 +381,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5; the others go."""
-    scorer = fit(*sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    scorer = fit(*sample(docs, table(spark, sf_dir, "labels")))
     shared = spark.sparkContext.broadcast(scorer)
     names = ["doc_id", "text", "lang", "source", "n_chars"]
 
