@@ -31,8 +31,8 @@ from echofold.llm._common import held_out, table
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, INPUTS = 8, 6
-TRAIN_DOCS = {1: 2000, 0: 3000}
-TRAIN_CHARS = 12_000
+TRAIN_DOCS = {1: 1500, 0: 2500}
+TRAIN_CHARS = 8_000
 EPOCHS = 10
 BUCKETS = 1 << 17
 #: Bytes of text, and windows, that are worked on at once.
@@ -280,7 +280,7 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Scorer:
-    """Odds from all texts, a network trained on windows with odds from the other half."""
+    """Odds from both halves, and a network trained on windows with odds from the other half."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Scorer(None, None)
@@ -328,7 +328,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Scorer:
                     network.p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         if epoch + 1 < epochs:
             rank, _ = scorer._window_logits(given)
-    scorer.odds = Odds.fit(docs, y)
+    # The mean of both halves' odds has the scale that the network was trained on.
+    scorer.odds = Odds(*((getattr(pairs[0], k) + getattr(pairs[1], k)) / 2 for k in ("word", "gram4", "gram5")))
     return scorer
 
 
