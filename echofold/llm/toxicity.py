@@ -19,7 +19,7 @@ scores are 0. Repeated rows and null ids pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +36,7 @@ TRAIN_CHARS = 8_000
 EPOCHS = 10
 BUCKETS = 1 << 17
 #: Bytes of text, and windows, that are worked on at once.
-BLOCK, WINDOWS = 1 << 20, 1 << 13
+BLOCK, WINDOWS = 1 << 20, 1 << 12
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 _rng = np.random.RandomState(7)
@@ -93,18 +93,21 @@ class Odds:
     gram5: np.ndarray
 
     @classmethod
-    def fit(cls, docs: list[Words], labels: np.ndarray) -> Odds:
+    def fit(cls, docs: Iterable[Words], labels: np.ndarray) -> Odds:
+        """From documents, which are looked at one at a time."""
+        kinds = ("word", "gram4", "gram5")
+        counts = {k: np.zeros((2, BUCKETS)) for k in kinds}
+        for d, y in zip(docs, labels):
+            for k in kinds:
+                counts[k][y, np.unique(getattr(d, k))] += 1
+        n = np.maximum(1, np.bincount(labels, minlength=2))
+        base = (2.0 / n).max()
         made = []
-        for kind in ("word", "gram4", "gram5"):
-            count = np.zeros((2, BUCKETS))
-            for d, y in zip(docs, labels):
-                count[y, np.unique(getattr(d, kind))] += 1
-            n = np.maximum(1, np.bincount(labels, minlength=2))
+        for k, count in counts.items():
             rate = count / n[:, None]
-            base = 2.0 / n
-            odds = np.log(rate[1] + base.max()) - np.log(rate[0] + base.max())
+            odds = np.log(rate[1] + base) - np.log(rate[0] + base)
             odds *= count.sum(0) / (count.sum(0) + 3)
-            odds[0] *= kind == "word"
+            odds[0] *= k == "word"
             made.append(np.clip(odds, -3, 5).astype(np.float32) / 2)
         return cls(*made)
 
@@ -229,10 +232,8 @@ class Scorer:
     def __init__(self, odds: Odds | None, network: Network | None) -> None:
         self.odds, self.network = odds, network
 
-    def _window_logits(self, given: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of all windows of some texts, and how many each text has."""
-        lengths = np.array([len(g) for g in given], np.int64)
-        x = np.concatenate([*given, np.zeros((1, INPUTS), np.float32)])
+    def _window_logits(self, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of all windows of some texts, and how many each text has; x: their words and a row of zeros."""
         first = np.cumsum(lengths) - lengths
         own = [windows(n) for n in lengths]
         starts = np.concatenate([w + a for w, a in zip(own, first)])
@@ -255,7 +256,7 @@ class Scorer:
         def flush(stop: int) -> None:
             nonlocal held, size
             if held:
-                logit, many = self._window_logits(held)
+                logit, many = self._window_logits(np.concatenate([*held, np.zeros((1, INPUTS), np.float32)]), np.array([len(g) for g in held], np.int64))
                 out[stop - len(held) : stop] = _sigmoid(np.maximum.reduceat(logit, np.cumsum(many) - many).astype(np.float64))
             held, size = [], 0
 
@@ -284,14 +285,16 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Scorer:
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Scorer(None, None)
-    docs = [split(t.encode("utf-8", "surrogatepass")) for t in texts]
-    half = np.arange(len(docs)) % 2
-    pairs = [Odds.fit([d for d, f in zip(docs, half) if f == k], y[half == k]) for k in (0, 1)]
-    given = [inputs(d, pairs[1 - f]) for d, f in zip(docs, half)]
+    half = np.arange(len(texts)) % 2
+    read = lambda t: split(t.encode("utf-8", "surrogatepass"))  # noqa: E731  texts are split anew each time, to hold little
+    pairs = [Odds.fit((read(t) for t, f in zip(texts, half) if f == k), y[half == k]) for k in (0, 1)]
+    given = [inputs(read(t), pairs[1 - f]) for t, f in zip(texts, half)]
     network = Network()
     scorer = Scorer(None, network)
     lengths = np.array([len(g) for g in given], np.int64)
-    x = np.concatenate([*given, np.zeros((1, INPUTS), np.float32)])
+    given.append(np.zeros((1, INPUTS), np.float32))
+    x = np.concatenate(given)
+    del given
     first = np.cumsum(lengths) - lengths
     own = [windows(n) for n in lengths]
     many = np.array([len(w) for w in own])
@@ -327,7 +330,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Scorer:
                     v += 0.01 * (grad**2 - v)
                     network.p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         if epoch + 1 < epochs:
-            rank, _ = scorer._window_logits(given)
+            rank, _ = scorer._window_logits(x, lengths)
     # The mean of both halves' odds has the scale that the network was trained on.
     scorer.odds = Odds(*((getattr(pairs[0], k) + getattr(pairs[1], k)) / 2 for k in ("word", "gram4", "gram5")))
     return scorer
