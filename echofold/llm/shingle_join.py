@@ -40,7 +40,7 @@ from echofold.operators.graph import connected_components
 
 SHINGLE, PERCENT = 5, 80
 #: Bytes of text that are cut into words at once, and hashes that are dealt out at once.
-BLOCK, FLUSH = 4 << 20, 1_500_000
+BLOCK, FLUSH = 1 << 20, 800_000
 #: In how many sets of one flush a hash counts as frequent; all such have the last place in the order.
 FREQUENT, LAST = 64, 255
 #: Sets of a group that are joined in one task.
