@@ -1,4 +1,353 @@
-"""Named queries of the duplicate-detection engine and the SQL that gives the same rows."""
+"""Named queries of the duplicate-detection engine over the test tables."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from echofold.functions.features import FEATURES
+from echofold.functions.signatures import HASHES, as_hex
+from echofold.operators import clustering, evaluate, exact, graph, matching, report, scoring, training
+from echofold.plans import adapters as src
+from echofold.plans.oracle import ORACLE_SQL
+from echofold.sources import files as file_source
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
+
+
+def _six(c: str, name: str | None = None):
+    return F.round(F.col(c).cast("double"), 6).alias(name or c)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs of the default matcher, counted by smallest distance."""
+    pairs = src.pairs(spark, sf_dir)
+    return pairs.groupBy("best").agg(F.count(F.lit(1)).alias("pairs")).orderBy("best")
+
+
+# Scan and exact duplicates
+
+
+def scan_inventory(spark, sf_dir):
+    found = file_source.inventory(src.files(spark, sf_dir))
+    return found.groupBy("format", "extension_mismatch").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("total_bytes"))
+
+
+def scan_files(spark, sf_dir):
+    return file_source.inventory(src.files(spark, sf_dir)).select("file_id", "path", "size_bytes", "format", "extension_mismatch")
+
+
+def scan_skipped_nonimage(spark, sf_dir):
+    return file_source.skipped(src.files(spark, sf_dir)).agg(F.count(F.lit(1)).alias("skipped"), F.sum("size_bytes").alias("skipped_bytes"))
+
+
+def scan_min_size(spark, sf_dir):
+    return file_source.inventory(src.files(spark, sf_dir), min_size=2000).agg(F.count(F.lit(1)).alias("files"), F.min("size_bytes").alias("smallest"))
+
+
+def size_buckets(spark, sf_dir):
+    return exact.size_buckets(src.sized(src.files(spark, sf_dir)))
+
+
+def exact_hash_fnv1a(spark, sf_dir):
+    return exact.fnv1a(src.files(spark, sf_dir).select("file_id", "content")).select("file_id", as_hex(F.col("hash")).alias("hash"))
+
+
+def exact_groups(spark, sf_dir):
+    found = exact.exact_groups(src.sized(src.files(spark, sf_dir)))
+    return found.select("group_id", F.size("members").cast("long").alias("n_members"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "size_bytes", "reclaimable_bytes")
+
+
+def exact_members(spark, sf_dir):
+    return exact.exact_members(src.sized(src.files(spark, sf_dir)))
+
+
+def exact_summary(spark, sf_dir):
+    return exact.exact_summary(src.sized(src.files(spark, sf_dir)))
+
+
+# Signatures and candidates
+
+
+def _hashes(*names):
+    def query(spark, sf_dir):
+        return src.hashed(spark, sf_dir).select("id", *[as_hex(F.col(n)).alias(n) for n in names])
+
+    return query
+
+
+def hamming_pairs(spark, sf_dir):
+    return src.pairs(spark, sf_dir, {"ahash": 12, "dhash": 12, "phash": 12}).select("a", "b", "d_ahash", "d_dhash", "d_phash")
+
+
+def oriented_pairs(spark, sf_dir):
+    return src.pairs(spark, sf_dir).where("d_dhash_oriented <= 16").select("a", "b", "d_dhash", "d_dhash_oriented")
+
+
+def candidates_union(spark, sf_dir):
+    return src.pairs(spark, sf_dir)
+
+
+def candidates_topk(spark, sf_dir):
+    return matching.top_candidates(src.pairs(spark, sf_dir), 5)
+
+
+def match_metrics(spark, sf_dir):
+    return matching.match_metrics(src.hashed(spark, sf_dir), src.pairs(spark, sf_dir), 5)
+
+
+def candidate_distance_histogram(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+# Features and scores
+
+
+def image_features(spark, sf_dir):
+    rows = src.images(spark, sf_dir)
+    hist = F.array_join(F.transform("histogram", lambda h: F.round(h.cast("double") * 64, 0).cast("int").cast("string")), ",")
+    return rows.select("id", "width", "height", "file_size", F.round(F.col("mean_brightness").cast("double"), 3).alias("mean_brightness"), F.round(F.col("contrast").cast("double"), 3).alias("contrast"), hist.alias("histogram"))
+
+
+def pair_features(spark, sf_dir):
+    made = scoring.pair_features(src.pairs(spark, sf_dir), src.images(spark, sf_dir))
+    return made.select("a", "b", *[_six(c) if c[:2] != "d_" else F.col(c) for c in FEATURES])
+
+
+def pair_scores(spark, sf_dir):
+    return src.scored(spark, sf_dir).select("a", "b", F.round(F.col("probability").cast("double"), 5).alias("probability"), "verdict")
+
+
+def verdict_summary(spark, sf_dir):
+    return scoring.verdict_summary(src.scored(spark, sf_dir)).select("accepted", "rejected", _six("rejected_percent"))
+
+
+def prob_histogram(spark, sf_dir):
+    return scoring.probability_histogram(src.scored(spark, sf_dir))
+
+
+def top_confident(spark, sf_dir):
+    return scoring.most_confident(src.scored(spark, sf_dir)).select("a", "b", F.round(F.col("probability").cast("double"), 5).alias("probability"))
+
+
+def fallback_verdicts(spark, sf_dir):
+    return src.scored(spark, sf_dir, scoring.Classifier()).select("a", "b", "d_phash", "verdict", _six("probability"))
+
+
+def feature_export(spark, sf_dir):
+    """The training table: labels and all features of each labelled pair whose images have features."""
+    return src.labelled(spark, sf_dir).select("a", "b", "label", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in FEATURES])
+
+
+# Graph, clusters and the report
+
+
+def _accepted(spark, sf_dir):
+    return src.scored(spark, sf_dir).where("verdict = 1").select("a", "b", "probability")
+
+
+def components(spark, sf_dir):
+    return graph.connected_components(_accepted(spark, sf_dir)).select(F.col("node").alias("id"), "component")
+
+
+def clusters(spark, sf_dir):
+    found = clustering.clusters(clustering.clustered(_accepted(spark, sf_dir)))
+    return found.select("cluster_id", "size", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), _six("weakest_link"))
+
+
+def clusters_core_half(spark, sf_dir):
+    found = clustering.clusters(clustering.clustered(_accepted(spark, sf_dir), core=0.5, max_size=8))
+    return found.select("cluster_id", "size", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), _six("weakest_link"))
+
+
+def cluster_blocked(spark, sf_dir):
+    return clustering.blocked(clustering.clustered(_accepted(spark, sf_dir)))
+
+
+def _strong(spark, sf_dir):
+    """Clusters with every accepted edge strong: these are the components."""
+    return clustering.clustered(_accepted(spark, sf_dir), core=0.0).where("member IS NOT NULL")
+
+
+def clusters_strong(spark, sf_dir):
+    return _strong(spark, sf_dir).select("cluster_id", "member")
+
+
+def cluster_keep(spark, sf_dir):
+    return clustering.keepers(_strong(spark, sf_dir), src.images(spark, sf_dir))
+
+
+def near_reclaimable(spark, sf_dir):
+    return clustering.reclaimable(_strong(spark, sf_dir), src.images(spark, sf_dir))
+
+
+def _report(spark, sf_dir):
+    files = src.sized(src.files(spark, sf_dir))
+    first = report.exact_rows(exact.exact_groups(files), files)
+    near = report.near_rows(_strong(spark, sf_dir), src.images(spark, sf_dir), src.scored(spark, sf_dir))
+    return first, near
+
+
+def report_groups(spark, sf_dir):
+    return report.numbered(*_report(spark, sf_dir))
+
+
+def report_summary(spark, sf_dir):
+    found = clustering.clustered(_accepted(spark, sf_dir), core=0.0)
+    return report.summary(*_report(spark, sf_dir), clustering.blocked(found))
+
+
+def report_near_json(spark, sf_dir):
+    """Near groups as JSON rows, with evidence."""
+    near = report.near_rows(clustering.clustered(_accepted(spark, sf_dir)).where("member IS NOT NULL"), src.images(spark, sf_dir), src.scored(spark, sf_dir))
+    return near.select("rank", F.to_json(F.struct(*near.columns)).alias("json"))
+
+
+def groups_at_threshold(spark, sf_dir):
+    near = _report(spark, sf_dir)[1]
+    shown = report.groups_at(near, 0.5)
+    return shown.select("rank", F.size("members").alias("members"), F.size("pairs").alias("pairs"), "reclaimable_bytes")
+
+
+# Training data and evaluation
+
+
+def _split(c):
+    return training.split_at(F.col(c) % 20, 14, 17)
+
+
+def _bases(spark, sf_dir):
+    return src.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("base"), _split("vec_id").alias("split"))
+
+
+def split_by_base(spark, sf_dir):
+    """Splits by base and label, and how many bases each has."""
+    rows = src.read(spark, sf_dir, "embeddings").select(_split("vec_id").alias("split"), "label")
+    return rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("bases"))
+
+
+def hashed_split(spark, sf_dir):
+    rows = src.read(spark, sf_dir, "documents").select(training.hashed_split(F.col("doc_id")).alias("split"))
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("bases"))
+
+
+def positives(spark, sf_dir):
+    """Three variants of every base as positive pairs."""
+    variants = _bases(spark, sf_dir).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in evaluate.SUFFIXES])))
+    return training.positives(variants, 3).groupBy("split", "label").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("base_a").alias("bases"))
+
+
+def negatives(spark, sf_dir):
+    """As many random negatives as bases, within splits."""
+    made = training.random_negatives(_bases(spark, sf_dir))
+    return made.groupBy("split", "label").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("base_a", "base_b").alias("distinct_pairs"), F.count_if(F.col("base_a") >= F.col("base_b")).alias("disordered"))
+
+
+def _mined(spark, sf_dir):
+    return training.mined(src.pairs(spark, sf_dir), _bases(spark, sf_dir), quota=100)
+
+
+def mine_negatives(spark, sf_dir):
+    return _mined(spark, sf_dir)
+
+
+def mined_unknown_bases(spark, sf_dir):
+    known = _bases(spark, sf_dir).where("base % 7 != 0")
+    return training.unknown_pairs(src.pairs(spark, sf_dir), known).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def mined_distance_hist(spark, sf_dir):
+    return training.distance_histogram(_mined(spark, sf_dir))
+
+
+def merge_hard_negatives(spark, sf_dir):
+    """The manifest of labelled candidates with the mined rows behind it, counted by kind."""
+    labelled = src.labelled(spark, sf_dir).select("a", "b", "label", F.lit("candidate").alias("transform"))
+    both = training.merged_manifest(labelled, _mined(spark, sf_dir).select("a", "b", "label", "transform"))
+    return both.groupBy("transform", "label").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def baseline_grid(spark, sf_dir):
+    return training.baseline_grid(src.labelled(spark, sf_dir)).select("feature", "threshold", _six("precision"), _six("recall"), _six("f1"))
+
+
+def best_baseline(spark, sf_dir):
+    return training.best_baseline(training.baseline_grid(src.labelled(spark, sf_dir))).select("feature", "threshold", _six("f1"))
+
+
+def pr_threshold(spark, sf_dir):
+    return training.best_threshold(src.labelled(spark, sf_dir), precision=0.05).select(F.round("threshold", 5).alias("threshold"), _six("precision"), _six("recall"))
+
+
+def eval_metrics(spark, sf_dir):
+    return evaluate.classification_metrics(src.labelled(spark, sf_dir)).select("tp", "fp", "fn", "tn", _six("precision"), _six("recall"), _six("f1"), F.round("brier", 5).alias("brier"))
+
+
+def average_precision(spark, sf_dir):
+    return evaluate.average_precision(src.labelled(spark, sf_dir)).select(_six("average_precision"))
+
+
+def recall_by_group(spark, sf_dir):
+    return evaluate.recall_by_group(src.labelled(spark, sf_dir), "label_a").select("label_a", "pairs", _six("recall"), "weak")
+
+
+def distance_quantiles(spark, sf_dir):
+    return evaluate.distance_quantiles(src.labelled(spark, sf_dir), "label_a").select("label_a", _six("median_distance"), _six("p90_distance"))
+
+
+def _truth(spark, sf_dir):
+    rows = src.read(spark, sf_dir, "embeddings").select(F.concat(F.col("label").cast("string"), F.lit("_"), (F.col("vec_id") % 9).cast("string")).alias("base"), F.col("vec_id").alias("file"))
+    return evaluate.truth_pairs(rows)
+
+
+def truth_pairs(spark, sf_dir):
+    return _truth(spark, sf_dir).agg(F.count(F.lit(1)).alias("pairs"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"))
+
+
+def pair_confusion(spark, sf_dir):
+    return evaluate.confusion(_truth(spark, sf_dir), src.pairs(spark, sf_dir))
+
+
+def tp_pairs(spark, sf_dir):
+    return evaluate.true_positives(_truth(spark, sf_dir), src.pairs(spark, sf_dir))
+
+
+def fp_pairs(spark, sf_dir):
+    return evaluate.false_positives(_truth(spark, sf_dir), src.pairs(spark, sf_dir))
+
+
+def fn_pairs(spark, sf_dir):
+    return evaluate.false_negatives(_truth(spark, sf_dir), src.pairs(spark, sf_dir)).agg(F.count(F.lit(1)).alias("pairs"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"))
+
+
+def recall_by_transform(spark, sf_dir):
+    names = F.array(F.lit("original"), *map(F.lit, evaluate.SUFFIXES))
+    transforms = src.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file"), F.element_at(names, (F.col("vec_id") % 9 + 1).cast("int")).alias("transform"))
+    return evaluate.recall_by_transform(_truth(spark, sf_dir), src.pairs(spark, sf_dir), transforms).select("transform", "pairs", "found", _six("recall"), "weak")
+
+
+def name_parts(spark, sf_dir):
+    """Base and transform of file names made from the documents' ids."""
+    names = F.array(F.lit(""), *[F.lit(f"_{s}") for s in evaluate.SUFFIXES])
+    path = F.concat(F.lit("a/b/img_"), F.col("doc_id").cast("string"), F.element_at(names, (F.col("doc_id") % 9 + 1).cast("int")), F.lit(".jpg"))
+    rows = src.read(spark, sf_dir, "documents").select("doc_id", evaluate.base_and_transform(path).alias("p"))
+    return rows.select("doc_id", "p.base", "p.transform")
+
+
+def train_logreg(spark, sf_dir):
+    rows = src.labelled(spark, sf_dir).where(_split("a") == "train")
+    return training.coefficients(training.train(rows), spark)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        scan_inventory, scan_files, scan_skipped_nonimage, scan_min_size, size_buckets, exact_hash_fnv1a, exact_groups, exact_members, exact_summary,
+        hamming_pairs, oriented_pairs, candidates_union, candidates_topk, match_metrics, candidate_distance_histogram,
+        image_features, pair_features, pair_scores, verdict_summary, prob_histogram, top_confident, fallback_verdicts, feature_export,
+        components, clusters, clusters_core_half, cluster_blocked, clusters_strong, cluster_keep, near_reclaimable, report_groups, report_summary, report_near_json, groups_at_threshold,
+        split_by_base, hashed_split, positives, negatives, mine_negatives, mined_unknown_bases, mined_distance_hist, merge_hard_negatives,
+        baseline_grid, best_baseline, pr_threshold, eval_metrics, average_precision, recall_by_group, distance_quantiles,
+        truth_pairs, pair_confusion, tp_pairs, fp_pairs, fn_pairs, recall_by_transform, name_parts, train_logreg,
+    )
+} | {"ahash": _hashes("ahash"), "dhash": _hashes("dhash"), "phash": _hashes("phash"), "dhash_orientations": _hashes(*[h for h in HASHES if h.startswith("dhash_")])}
