@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from echofold.session import shared_dir, written
 
-__all__ = ["FOLDS", "fold", "held_out", "parts", "shared_dir", "table", "written"]
+__all__ = ["FOLDS", "buckets", "fold", "held_out", "parts", "shared_dir", "table", "written"]
 
 #: The share of rows that no model learns from: crc32(doc_id as text) mod FOLDS = 0.
 FOLDS = 5
@@ -25,6 +25,14 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Groups that packed arrays are dealt to, for each shuffle partition: a task works on one group at a time.
+GROUPS = 4
+
+
+def buckets(spark: SparkSession) -> int:
+    return min(GROUPS * parts(spark), 1 << 16)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is in the fold that no model learns from; a null id never is."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))

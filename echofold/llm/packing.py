@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -43,12 +44,11 @@ def encoder(name: str = "byte_bpe_50k"):
     """
     if name not in _encoders:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        exact = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+            special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         lines = map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))
         ranks = {base64.b64decode(a): int(b) for a, b in lines}
-        special = {t.content: i for i, t in exact.get_added_tokens_decoder().items()}
         fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
         def encode(text: str) -> np.ndarray:

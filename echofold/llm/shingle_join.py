@@ -27,7 +27,6 @@ id unless all its ids are null. Repeated rows are linked rows like any other.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm._common import parts, table, written
+from echofold.llm import _common
+from echofold.llm._common import table, written
+from echofold.llm._packed import mix, pack, runs, unpack
 from echofold.operators.graph import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -55,13 +56,6 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, and where it starts."""
     data = np.frombuffer(raw + b" ", np.uint8)
@@ -117,25 +111,6 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = struct.pack(f"<{len(arrays)}Q", *(a.nbytes for a in arrays))
-    return b"".join([head, *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-
-
-def _unpack(raw: bytes, *kinds) -> list[np.ndarray]:
-    sizes = struct.unpack_from(f"<{len(kinds)}Q", raw)
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(sizes, kinds):
-        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
-        at += n
-    return out
-
-
-def _runs(sorted_keys: np.ndarray) -> np.ndarray:
-    """Where each run of equal keys begins, and the end."""
-    return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [len(sorted_keys)]]) if len(sorted_keys) else np.zeros(1, np.int64)
-
-
 # Rows of the exchange. kind 0: a document (doc_id, n, digest). kind 1: sets' hashes of a bucket. kind 2: frequent
 # hashes of a bucket. kind 3: hashes that several sets hold, with their sets.
 DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("payload", pa.binary())])
@@ -154,12 +129,12 @@ def _deal_shared(sets: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classe
     """Rows of kind 3: (set, size, hash, class) dealt by set."""
     to = (sets % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((sets, to))
-    ends = _runs(to[order])
+    ends = runs(to[order])
     rows = []
     for a, b in zip(ends[:-1], ends[1:]):
         k = order[a:b]
-        r = _runs(sets[k])
-        rows.append(_row(int(to[k[0]]), 3, _pack(sets[k][r[:-1]], sizes[k][r[:-1]].astype("<u4"), np.diff(r).astype("<u4"), hashes[k], classes[k].astype(np.uint8))))
+        r = runs(sets[k])
+        rows.append(_row(int(to[k[0]]), 3, pack(sets[k][r[:-1]], sizes[k][r[:-1]].astype("<u4"), np.diff(r).astype("<u4"), hashes[k], classes[k].astype(np.uint8))))
     return rows
 
 
@@ -182,7 +157,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
             low = all_hashes & np.uint64((1 << 48) - 1)
             rows = []
             order = np.argsort(all_hashes)
-            ends = _runs(all_hashes[order])
+            ends = runs(all_hashes[order])
             many = np.diff(ends) >= FREQUENT
             if many.any():
                 common = np.zeros(len(all_hashes), bool)
@@ -192,17 +167,17 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
                 rows += _deal_shared(digests[owner[k]], sizes[owner[k]], full, np.full(len(k), LAST), buckets)
                 heads = order[ends[:-1][many]]
                 for b in np.unique(bucket[heads]):
-                    rows.append(_row(int(b), 2, _pack(low[heads[bucket[heads] == b]])))
+                    rows.append(_row(int(b), 2, pack(low[heads[bucket[heads] == b]])))
                 k = np.flatnonzero(~common)
                 bucket, low, owner = bucket[k], low[k], owner[k]
             order = np.argsort(bucket, kind="stable")
-            ends = _runs(bucket[order])
+            ends = runs(bucket[order])
             for a, b in zip(ends[:-1], ends[1:]):
                 k = order[a:b]
-                r = _runs(owner[k])
+                r = runs(owner[k])
                 of = owner[k[r[:-1]]]
                 six = low[k].view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append(_row(int(bucket[k[0]]), 1, _pack(digests[of], sizes[of].astype("<u4"), np.diff(r).astype("<u4"), six)))
+                rows.append(_row(int(bucket[k[0]]), 1, pack(digests[of], sizes[of].astype("<u4"), np.diff(r).astype("<u4"), six)))
             sets, names, held = [], [], 0
             return _table(rows)
 
@@ -236,7 +211,7 @@ def _count(buckets: int):
         kind = t.column("kind").to_numpy()
         through = t.filter(pa.array((kind == 0) | (kind == 3)))
         payloads = t.column("payload")
-        own, frequent = [_unpack(payloads[i].as_py(), "<u8", "<u4", "<u4", np.uint8) for i in np.flatnonzero(kind == 1)], [_unpack(payloads[i].as_py(), "<u8")[0] for i in np.flatnonzero(kind == 2)]
+        own, frequent = [unpack(payloads[i].as_py(), "<u8", "<u4", "<u4", np.uint8) for i in np.flatnonzero(kind == 1)], [unpack(payloads[i].as_py(), "<u8")[0] for i in np.flatnonzero(kind == 2)]
         rows: list[tuple] = []
         if own:
             wide = [np.zeros((len(x[3]) // 6, 8), np.uint8) for x in own]
@@ -246,7 +221,7 @@ def _count(buckets: int):
             run_of = np.concatenate([np.repeat(np.arange(len(x[2])) + n, x[2]) for x, n in zip(own, np.cumsum([0] + [len(x[2]) for x in own]))])
             digests, sizes = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
             order = np.argsort(low)
-            ends = _runs(low[order])
+            ends = runs(low[order])
             several = np.repeat(np.diff(ends) > 1, np.diff(ends))
             common = np.unique(np.concatenate(frequent)) if frequent else np.zeros(0, np.uint64)
             at = order[several | np.isin(low[order], common)] if len(common) else order[several]
@@ -255,7 +230,7 @@ def _count(buckets: int):
             h, d = low[at], digests[run_of[at]]
             once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(at)]
             at, h, d = at[once], h[once], d[once]
-            ends = _runs(h)
+            ends = runs(h)
             df = np.repeat(np.diff(ends), np.diff(ends))
             known = np.isin(h, common) if len(common) else np.zeros(len(h), bool)
             keep = (df > 1) | known
@@ -272,7 +247,7 @@ SETS_SQL = "digest long, n long, hashes binary"
 
 def _assemble(key: tuple, t: pa.Table) -> pa.Table:
     """Sets of which at least four fifths occur elsewhere: their shared hashes, rarest first."""
-    own = [_unpack(p.as_py(), "<u8", "<u4", "<u4", "<u8", np.uint8) for p in t.column("payload")]
+    own = [unpack(p.as_py(), "<u8", "<u4", "<u4", "<u8", np.uint8) for p in t.column("payload")]
     digests = np.concatenate([np.repeat(x[0], x[2]) for x in own])
     sizes = np.concatenate([np.repeat(x[1], x[2]) for x in own])
     hashes, classes = np.concatenate([x[3] for x in own]), np.concatenate([x[4] for x in own])
@@ -280,7 +255,7 @@ def _assemble(key: tuple, t: pa.Table) -> pa.Table:
     d, h = digests[order], hashes[order]
     once = np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]))
     order, d = order[once], d[once]
-    ends = _runs(d)
+    ends = runs(d)
     out = []
     for a, b in zip(ends[:-1], ends[1:]):
         n = int(sizes[order[a]])
@@ -448,7 +423,7 @@ def _join_tile(key: tuple, t: pa.Table) -> pa.Table:
     label, digest, size = (t.column(c).to_numpy() for c in ("label", "digest", "n"))
     hashes = t.column("hashes")
     order = np.lexsort((digest, label))
-    ends = _runs(label[order])
+    ends = runs(label[order])
     for a, b in zip(ends[:-1], ends[1:]):
         k = order[a:b]
         if len(k) > 1:
@@ -461,7 +436,7 @@ def _join_tile(key: tuple, t: pa.Table) -> pa.Table:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
-    buckets = min(parts(spark), 1 << 16)
+    buckets = _common.buckets(spark)
     dealt = _deal(docs, buckets).groupBy("bucket").applyInArrow(_count(buckets), DEALT_SQL)
     counted = written(dealt, "shingles")
     rows = counted.where("kind = 0").select("doc_id", "n", "digest")
@@ -476,7 +451,7 @@ def components(docs: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64("digest", F.lit("block")), F.col("blocks")).cast("int")
     partner = F.explode(F.expr("sequence(0, blocks - 1)"))
     tiles = grouped.join(held, "label").withColumn("blocks", blocks).withColumn("block", block).withColumn("partner", partner).where("blocks = 1 OR partner != block")
-    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(4 * buckets))).otherwise(-1 - F.abs(F.xxhash64("label", F.least("block", "partner"), F.greatest("block", "partner")) % (1 << 40)))
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(-1 - F.abs(F.xxhash64("label", F.least("block", "partner"), F.greatest("block", "partner")) % (1 << 40)))
     stars = tiles.withColumn("tile", tile).select("tile", "label", "digest", "n", "hashes").groupBy("tile").applyInArrow(_join_tile, "a long, b long")
     linked = connected_components(stars)
     first = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))

@@ -37,7 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm._common import parts, table
+from echofold.llm import _common
+from echofold.llm._common import table
 from echofold.llm._packed import from_planes, mix, pack, planes, runs, unpack
 
 LENGTH, GRAM = 50, 24
@@ -444,7 +445,7 @@ def docs_by_bucket(docs: DataFrame, buckets: int, columns: list[str]) -> DataFra
 
 def _removed(docs: DataFrame, finish, schema: pa.Schema, sql: str, columns: list[str]) -> DataFrame:
     """All steps as one plan, so that the exchange of the documents is made once and used twice."""
-    buckets = min(parts(docs.sparkSession), 1 << 16)
+    buckets = _common.buckets(docs.sparkSession)
     by_bucket = docs_by_bucket(docs, buckets, columns)
     matched = _find(docs, buckets).groupBy("bucket").applyInArrow(_match(buckets), EXCHANGED_SQL)
     told = by_bucket.groupBy("bucket").cogroup(matched.groupBy("bucket")).applyInArrow(_answer(buckets), EXCHANGED_SQL)
