@@ -18,11 +18,16 @@ from echofold.sources import decode, files
 USAGE = "usage: python -m echofold scan ROOT... | export-features MANIFEST OUT [limit] | mine-negatives DIR OUT [radius]"
 
 
+def _plain(path: str):
+    """A path without the scheme, which Spark's readers write in different ways."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def _images(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """Decoded images with ids in the order of their paths, and the failures."""
     read = written(decode.decode(spark, paths), "decoded")
-    sized = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("path").alias("_path"), F.col("length").alias("file_size"))
-    good = decode.decoded(read).join(sized, F.col("path") == F.col("_path")).drop("_path", "error").dropDuplicates(["path"])
+    sized = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(_plain("path").alias("_path"), F.col("length").alias("file_size"))
+    good = decode.decoded(read).withColumn("path", _plain("path")).join(sized, F.col("path") == F.col("_path")).drop("_path", "error").dropDuplicates(["path"])
     numbered = good.withColumn("id", (F.row_number().over(W.orderBy("path")) - 1).cast("long"))
     kind = F.when(F.lower("path").endswith(".png"), "png").otherwise("jpeg")
     return written(numbered.withColumn("format", kind), "images"), decode.failed(read)
@@ -40,7 +45,7 @@ def run_scan(spark: SparkSession, roots: list[str], model: scoring.Classifier, o
         return {**metrics, "total_groups": 0}
     began = time.time()
     content = spark.read.format("binaryFile").load(found).select("path", F.col("length").alias("size_bytes"), "content")
-    keyed = content.withColumn("file_id", F.xxhash64("path"))
+    keyed = content.withColumn("path", _plain("path")).withColumn("file_id", F.xxhash64("path"))
     groups = written(exact.exact_groups(exact.to_hash(keyed)), "exact")
     images, _ = _images(spark, found)
     took["hash_and_features"] = (time.time() - began) * 1000
@@ -65,12 +70,11 @@ def run_export(spark: SparkSession, manifest: str, out: str, limit: int = 0) ->
     rows = files.read_manifest(spark, manifest, limit)
     paths = [r["path"] for r in files.manifest_images(rows).toLocalIterator()]
     images, bad = _images(spark, paths)
-    plain = images.withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
-    ids = plain.select("path", "id", *HASHES)
+    ids = images.select("path", "id", *HASHES)
     side = lambda s: ids.select(F.col("path").alias(f"path_{s}"), F.struct("id", *HASHES).alias(s))
     met = rows.join(side("a"), "path_a").join(side("b"), "path_b")
     made = met.select(*[c for c in rows.columns if c[:5] != "path_"], F.col("a.id").alias("_a"), F.col("b.id").alias("_b"), *[c.alias(k) for k, c in matching.distances().items()])
-    featured = written(scoring.pair_features(made.withColumnsRenamed({"_a": "a", "_b": "b"}), plain), "features")
+    featured = written(scoring.pair_features(made.withColumnsRenamed({"_a": "a", "_b": "b"}), images), "features")
     files.write_csv(featured.select("label", "transform", "split", "base_a", "base_b", *FEATURES), out)
     return {"pairs": featured.count(), "failed_images": bad.count()}
 
