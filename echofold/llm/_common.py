@@ -29,8 +29,8 @@ def parts(spark: SparkSession) -> int:
 GROUPS = 4
 
 
-def buckets(spark: SparkSession) -> int:
-    return min(GROUPS * parts(spark), 1 << 16)
+def buckets(spark: SparkSession, groups: int = GROUPS) -> int:
+    return min(groups * parts(spark), 1 << 16)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -436,7 +436,7 @@ def _join_tile(key: tuple, t: pa.Table) -> pa.Table:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
-    buckets = _common.buckets(spark)
+    buckets = _common.buckets(spark, 2)  # smaller groups would repeat sets' heads more often
     dealt = _deal(docs, buckets).groupBy("bucket").applyInArrow(_count(buckets), DEALT_SQL)
     counted = written(dealt, "shingles")
     rows = counted.where("kind = 0").select("doc_id", "n", "digest")
