@@ -13,6 +13,7 @@ Null text is empty: no pieces. Repeated rows and null ids pass through.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 import zlib
@@ -33,7 +34,7 @@ from echofold.llm._common import table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose pieces are remembered, for each worker; then it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long"
 
 
@@ -165,7 +166,10 @@ class Codec:
             self.segments = re.compile("(?s).+")
         else:
             alone = "" if any("\n" in p for p in joined) else "\n"
-            self.segments = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}" if alone else ""))
+            # So it is between a letter or digit and a sign, but for the few that a piece joins to a sign.
+            joins = {x for p in joined for x, y in zip(p, p[1:]) if x.isalnum() and not y.isalnum()}
+            word = f"{SPACE}*[^\\W_{re.escape(''.join(sorted(joins)))}]+(?![^\\W_])"
+            self.segments = re.compile(f"{word}|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}" if alone else ""))
         self.surface = [p.replace(SPACE, " ") for p in self.pieces]
         # The lengths in bytes of the source, where blanks are plain blanks.
         self.size = np.array([len(s.encode()) for s in self.surface], np.int64)
@@ -181,21 +185,23 @@ class Codec:
 
     def _symbols(self, segment: str) -> list[str]:
         """Merge neighbours, best score first, leftmost first among equals."""
-        rank, symbols = self.rank, list(segment)
+        symbols = list(segment)
         if len(symbols) > 64:
             return self._symbols_of_long(symbols)
-        while len(symbols) > 1:
-            best, at = None, 0
-            last = symbols[0]
-            for i in range(1, len(symbols)):
-                this = symbols[i]
-                r = rank.get(last + this)
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-                last = this
-            if best is None:
+        rank, none = self.rank.get, math.inf
+        # The rank of each neighbouring pair; a merge changes two of them.
+        pairs = [rank(a + b, none) for a, b in zip(segment, segment[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
-            symbols[at - 1 : at + 1] = [symbols[at - 1] + symbols[at]]
+            i = pairs.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(symbols[i] + symbols[i + 1], none)
+            if i:
+                pairs[i - 1] = rank(symbols[i - 1] + symbols[i], none)
         return symbols
 
     def _symbols_of_long(self, symbols: list[str]) -> list[str]:
