@@ -25,11 +25,8 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Groups that packed arrays are dealt to, for each shuffle partition: a task works on one group at a time.
-GROUPS = 4
-
-
-def buckets(spark: SparkSession, groups: int = GROUPS) -> int:
+def buckets(spark: SparkSession, groups: int) -> int:
+    """How many groups packed arrays are dealt to: a task works on one of them at a time."""
     return min(groups * parts(spark), 1 << 16)
 
 

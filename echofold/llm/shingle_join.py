@@ -125,9 +125,9 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), DEALT)] if rows else [pa.array([], f.type) for f in DEALT], schema=DEALT)
 
 
-def _deal_shared(sets: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray, buckets: int) -> list[tuple]:
+def _deal_shared(sets: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray, homes: int) -> list[tuple]:
     """Rows of kind 3: (set, size, hash, class) dealt by set."""
-    to = (sets % np.uint64(buckets)).astype(np.int64)
+    to = (sets % np.uint64(homes)).astype(np.int64)
     order = np.lexsort((sets, to))
     ends = runs(to[order])
     rows = []
@@ -138,7 +138,7 @@ def _deal_shared(sets: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classe
     return rows
 
 
-def _deal(docs: DataFrame, buckets: int) -> DataFrame:
+def _deal(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
     """Documents and their sets' hashes, dealt to buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +164,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
                 common[order] = np.repeat(many, np.diff(ends))
                 k = np.flatnonzero(common)
                 full = low[k] | bucket[k].astype(np.uint64) << np.uint64(48)
-                rows += _deal_shared(digests[owner[k]], sizes[owner[k]], full, np.full(len(k), LAST), buckets)
+                rows += _deal_shared(digests[owner[k]], sizes[owner[k]], full, np.full(len(k), LAST), homes)
                 heads = order[ends[:-1][many]]
                 for b in np.unique(bucket[heads]):
                     rows.append(_row(int(b), 2, pack(low[heads[bucket[heads] == b]])))
@@ -189,7 +189,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
                 digest = [int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(s)))[0]) for s in made]
                 signed = np.array(digest, np.uint64).view(np.int64)
                 empty = pa.nulls(len(made), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(signed % buckets, pa.int32()), pa.array(np.zeros(len(made), np.int32)), part.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array(signed), empty], schema=DEALT)
+                yield pa.RecordBatch.from_arrays([pa.array((a + np.arange(len(made))) % buckets, pa.int32()), pa.array(np.zeros(len(made), np.int32)), part.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array(signed), empty], schema=DEALT)
                 for s, d in zip(made, digest):
                     if len(s) and d not in seen:
                         seen.add(d)
@@ -204,7 +204,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DEALT_SQL)
 
 
-def _count(buckets: int):
+def _count(homes: int):
     """A bucket's hashes that occur in several sets; documents pass through."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -236,7 +236,7 @@ def _count(buckets: int):
             keep = (df > 1) | known
             classes = np.where(known, LAST, np.minimum(df, LAST - 1))[keep]
             full = h[keep] | np.uint64(key[0].as_py() << 48)
-            rows = _deal_shared(d[keep], sizes[run_of[at]][keep], full, classes, buckets)
+            rows = _deal_shared(d[keep], sizes[run_of[at]][keep], full, classes, homes)
         return pa.concat_tables([through.cast(DEALT), pa.Table.from_batches([_table(rows)])])
 
     return run
@@ -436,8 +436,9 @@ def _join_tile(key: tuple, t: pa.Table) -> pa.Table:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
-    buckets = _common.buckets(spark, 2)  # smaller groups would repeat sets' heads more often
-    dealt = _deal(docs, buckets).groupBy("bucket").applyInArrow(_count(buckets), DEALT_SQL)
+    # Smaller groups of hashes would repeat sets' heads more often; sets have fewer buckets than hashes.
+    buckets, homes = _common.buckets(spark, 2), _common.buckets(spark, 1)
+    dealt = _deal(docs, buckets, homes).groupBy("bucket").applyInArrow(_count(homes), DEALT_SQL)
     counted = written(dealt, "shingles")
     rows = counted.where("kind = 0").select("doc_id", "n", "digest")
     sets = written(counted.where("kind = 3").groupBy("bucket").applyInArrow(_assemble, SETS_SQL), "sets")

@@ -110,7 +110,7 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([], [], []), EXCHANGED)], schema=EXCHANGED)
 
 
-def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
+def _home(doc: np.ndarray, homes: int) -> np.ndarray:
     """The bucket of a document: Spark's xxhash64 of its id, as docs_by_bucket() has it."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
@@ -118,7 +118,7 @@ def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
     h = turn((np.array([42 + 8], np.uint64) + p5) ^ x, 27) * p1 + p4
     h = (h ^ (h >> np.uint64(33))) * p2
     h = (h ^ (h >> np.uint64(29))) * p3
-    return (h ^ (h >> np.uint64(32))).view(np.int64) % buckets
+    return (h ^ (h >> np.uint64(32))).view(np.int64) % homes
 
 
 def _deal(kind: int, doc: np.ndarray, columns: list[np.ndarray], to: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -128,7 +128,7 @@ def _deal(kind: int, doc: np.ndarray, columns: list[np.ndarray], to: np.ndarray)
     return [(int(to[order[a]]), kind, pack(*[c[order[a:b]] for c in (doc, *columns)])) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _find(docs: DataFrame, buckets: int) -> DataFrame:
+def _find(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
     """The stretches of all texts, dealt by gram; spans known within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def _find(docs: DataFrame, buckets: int) -> DataFrame:
             rows = []
             if spans:
                 s = np.array(spans, np.int64)
-                rows += _deal(SPANS, s[:, 0].copy(), [s[:, 1].astype("<u4"), s[:, 2].astype("<u4")], _home(s[:, 0].copy(), buckets))
+                rows += _deal(SPANS, s[:, 0].copy(), [s[:, 1].astype("<u4"), s[:, 2].astype("<u4")], _home(s[:, 0].copy(), homes))
             if held:
                 doc, first, more, gram, text = (np.concatenate(c) for c in zip(*held))
                 # Of equal stretches the task keeps the one of the smallest document; later documents' are removed.
@@ -152,7 +152,7 @@ def _find(docs: DataFrame, buckets: int) -> DataFrame:
                 top = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
                 later = order[doc[order] > top]
                 if len(later):
-                    rows += _deal(SPANS, doc[later], [first[later].astype("<u4"), (first[later] + more[later] + LENGTH).astype("<u4")], _home(doc[later], buckets))
+                    rows += _deal(SPANS, doc[later], [first[later].astype("<u4"), (first[later] + more[later] + LENGTH).astype("<u4")], _home(doc[later], homes))
                 stay = np.ones(len(doc), bool)
                 stay[later] = False
                 k = np.flatnonzero(stay)
@@ -219,7 +219,7 @@ def _find(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, EXCHANGED_SQL)
 
 
-def _match(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
+def _match(homes: int) -> Callable[[tuple, pa.Table], pa.Table]:
     """A bucket's stretches against each other: spans to remove, and texts to ask for."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -248,7 +248,7 @@ def _match(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
             top = d[np.flatnonzero(new_text)][np.cumsum(new_text) - 1] if len(g) else d
             later = order[d > top]
             if len(later):
-                rows += _deal(SPANS, doc[later], [first[later].astype("<u4"), (first[later] + more[later] + LENGTH).astype("<u4")], _home(doc[later], buckets))
+                rows += _deal(SPANS, doc[later], [first[later].astype("<u4"), (first[later] + more[later] + LENGTH).astype("<u4")], _home(doc[later], homes))
             # Grams with several different stretches in several documents: the first of each is asked for.
             of = np.cumsum(new_gram) - 1
             texts = np.bincount(of, new_text) if len(g) else np.zeros(0)
@@ -259,7 +259,7 @@ def _match(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
             if len(ask):
                 many = (texts[of[wanted]] >= MANY).astype(np.uint8)
                 back = np.full(len(ask), key[0].as_py(), "<u4")
-                rows += _deal(ASKED, doc[ask], [first[ask].astype("<u4"), more[ask].astype(np.uint8), many, back], _home(doc[ask], buckets))
+                rows += _deal(ASKED, doc[ask], [first[ask].astype("<u4"), more[ask].astype(np.uint8), many, back], _home(doc[ask], homes))
         return _passed(t, kind, rows)
 
     return run
@@ -362,7 +362,7 @@ def longest_previous(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.maximum(nearest(rank, common), nearest(rank[::-1], after)[::-1])
 
 
-def _sort(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
+def _sort(homes: int) -> Callable[[tuple, pa.Table], pa.Table]:
     """Windows of a bucket's texts in suffix order: those with a long previous factor are spans."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -387,7 +387,7 @@ def _sort(buckets: int) -> Callable[[tuple, pa.Table], pa.Table]:
                 joined = np.append(False, (who[k][1:] == who[k][:-1]) & (where[k][1:] <= where[k][:-1] + LENGTH))
                 start, stop = np.flatnonzero(~joined), np.append(np.flatnonzero(~joined)[1:], len(k)) - 1
                 d = who[k[start]]
-                rows += _deal(SPANS, d, [where[k[start]].astype("<u4"), (where[k[stop]] + LENGTH).astype("<u4")], _home(d, buckets))
+                rows += _deal(SPANS, d, [where[k[start]].astype("<u4"), (where[k[stop]] + LENGTH).astype("<u4")], _home(d, homes))
         return _passed(t, kind, rows)
 
     return run
@@ -437,19 +437,20 @@ def _kept(raw: bytes, removed: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-def docs_by_bucket(docs: DataFrame, buckets: int, columns: list[str]) -> DataFrame:
+def docs_by_bucket(docs: DataFrame, homes: int, columns: list[str]) -> DataFrame:
     """Documents with the bucket that their spans are dealt to."""
-    home = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))), F.lit(buckets)).cast("int")
+    home = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))), F.lit(homes)).cast("int")
     return docs.select(home.alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
 
 
 def _removed(docs: DataFrame, finish, schema: pa.Schema, sql: str, columns: list[str]) -> DataFrame:
     """All steps as one plan, so that the exchange of the documents is made once and used twice."""
-    buckets = _common.buckets(docs.sparkSession)
-    by_bucket = docs_by_bucket(docs, buckets, columns)
-    matched = _find(docs, buckets).groupBy("bucket").applyInArrow(_match(buckets), EXCHANGED_SQL)
+    # Documents have fewer buckets than grams: each group of grams has at most one row for each of them.
+    buckets, homes = _common.buckets(docs.sparkSession, 2), _common.buckets(docs.sparkSession, 1)
+    by_bucket = docs_by_bucket(docs, homes, columns)
+    matched = _find(docs, buckets, homes).groupBy("bucket").applyInArrow(_match(homes), EXCHANGED_SQL)
     told = by_bucket.groupBy("bucket").cogroup(matched.groupBy("bucket")).applyInArrow(_answer(buckets), EXCHANGED_SQL)
-    spans = told.groupBy("bucket").applyInArrow(_sort(buckets), EXCHANGED_SQL)
+    spans = told.groupBy("bucket").applyInArrow(_sort(homes), EXCHANGED_SQL)
     return by_bucket.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_apply(schema, finish, ["doc_id", *columns]), sql)
 
 
