@@ -6,12 +6,11 @@ import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echofold.functions.features import FEATURES
 from echofold.functions.signatures import HASHES
-from echofold.operators import clustering, exact, matching, report, scoring
+from echofold.operators import clustering, exact, matching, report, running, scoring
 from echofold.session import local_session, written
 from echofold.sources import decode, files
 
@@ -28,7 +27,7 @@ def _images(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame
     read = written(decode.decode(spark, paths), "decoded")
     sized = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(_plain("path").alias("_path"), F.col("length").alias("file_size"))
     good = decode.decoded(read).withColumn("path", _plain("path")).join(sized, F.col("path") == F.col("_path")).drop("_path", "error").dropDuplicates(["path"])
-    numbered = good.withColumn("id", (F.row_number().over(W.orderBy("path")) - 1).cast("long"))
+    numbered = running.numbered(good, [F.col("path")])
     kind = F.when(F.lower("path").endswith(".png"), "png").otherwise("jpeg")
     return written(numbered.withColumn("format", kind), "images"), decode.failed(read)
 

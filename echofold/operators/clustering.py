@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echofold.operators.graph import connected_components
+from echofold.session import written
 
 CORE = 0.9
 _SQL = "component long, cluster_id long, member long, weakest_link float, weak_blocked long, size_blocked long"
@@ -70,6 +71,7 @@ def clustered(edges: DataFrame, core: float = CORE, max_size: int = 0) -> DataFr
     apart; each is one task's group of edges.
     """
     real = edges.where("a IS NOT NULL AND b IS NOT NULL AND probability IS NOT NULL").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("probability").cast("float").alias("probability"))
+    real = written(real, "accepted")  # the pairs behind the edges are not compared twice
     component = connected_components(real).select(F.col("node").alias("a"), "component")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Suffixes that name how a copy was made, longer ones first where one ends another.
@@ -68,8 +67,9 @@ def average_precision(scored: DataFrame) -> DataFrame:
     """One row: the sum of precision times the step in recall, over falling probabilities."""
     from echofold.operators.training import pr_curve
 
-    before = F.lag("recall", 1, 0.0).over(W.orderBy(F.col("probability").desc()))
-    return pr_curve(scored).withColumn("step", F.col("recall") - before).agg(F.sum(F.col("step") * F.col("precision")).alias("average_precision"))
+    # The step in recall at a probability is its own share of the hits.
+    step = F.when(F.col("total") > 0, F.col("hits") / F.col("total")).otherwise(F.lit(0.0))
+    return pr_curve(scored).agg(F.sum(step * F.col("precision")).alias("average_precision"))
 
 
 def recall_by_group(scored: DataFrame, group: str) -> DataFrame:

@@ -6,10 +6,10 @@ import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echofold.functions.features import FEATURES
+from echofold.operators import running
 from echofold.operators.clustering import keepers
 
 SCHEMA_VERSION = 1
@@ -41,8 +41,8 @@ def near_rows(members: DataFrame, images: DataFrame, scored: DataFrame) -> DataF
 def numbered(exact: DataFrame, near: DataFrame) -> DataFrame:
     """Both kinds in one list (type, rank, size, reclaimable_bytes) with running ids: exact first, then near by falling size."""
     flat = lambda d: d.select("type", "rank", F.size("members").alias("size"), "reclaimable_bytes")
-    order = W.orderBy(F.col("type"), F.when(F.col("type") == "near", -F.col("size")).otherwise(0), "rank")
-    return flat(exact).unionByName(flat(near)).withColumn("id", (F.row_number().over(order) - 1).cast("int"))
+    order = [F.col("type"), F.when(F.col("type") == "near", -F.col("size")).otherwise(0), F.col("rank")]
+    return running.numbered(flat(exact).unionByName(flat(near)), order).withColumn("id", F.col("id").cast("int"))
 
 
 def summary(exact: DataFrame, near: DataFrame, blocked: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from echofold.functions.features import FEATURES
+from echofold.operators.running import running_sums
 from echofold.operators.scoring import Classifier
 
 MIN_DISTANCE = 4
@@ -99,10 +100,9 @@ def train(rows: DataFrame, features: tuple[str, ...] = FEATURES, max_iter: int =
 def pr_curve(scored: DataFrame) -> DataFrame:
     """By probability: how many pairs reach it, how many of them are duplicates, precision and recall."""
     by = scored.groupBy("probability").agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("n"))
-    down = W.orderBy(F.col("probability").desc()).rowsBetween(W.unboundedPreceding, 0)
     total = scored.agg(F.sum("label").alias("total"))
-    run = by.withColumn("tp", F.sum("hits").over(down)).withColumn("reached", F.sum("n").over(down))
-    return run.crossJoin(total).select("probability", "tp", "reached", (F.col("tp") / F.col("reached")).alias("precision"), F.when(F.col("total") > 0, F.col("tp") / F.col("total")).otherwise(F.lit(0.0)).alias("recall"))
+    run = running_sums(by, [F.col("probability").desc()], {"tp": F.col("hits"), "reached": F.col("n")})
+    return run.crossJoin(total).select("probability", "tp", "reached", (F.col("tp") / F.col("reached")).alias("precision"), F.when(F.col("total") > 0, F.col("tp") / F.col("total")).otherwise(F.lit(0.0)).alias("recall"), F.col("hits"), F.col("total"))
 
 
 def best_threshold(scored: DataFrame, precision: float = PRECISION, default: float = 0.5) -> DataFrame:

@@ -10,6 +10,7 @@ from echofold.functions.signatures import HASHES, as_hex
 from echofold.operators import clustering, evaluate, exact, graph, matching, report, scoring, training
 from echofold.plans import adapters as src
 from echofold.plans.oracle import ORACLE_SQL
+from echofold.session import written
 from echofold.sources import files as file_source
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
@@ -164,48 +165,49 @@ def cluster_blocked(spark, sf_dir):
     return clustering.blocked(clustering.clustered(_accepted(spark, sf_dir)))
 
 
-def _strong(spark, sf_dir):
+def _strong(edges):
     """Clusters with every accepted edge strong: these are the components."""
-    return clustering.clustered(_accepted(spark, sf_dir), core=0.0).where("member IS NOT NULL")
+    return clustering.clustered(edges, core=0.0).where("member IS NOT NULL")
 
 
 def clusters_strong(spark, sf_dir):
-    return _strong(spark, sf_dir).select("cluster_id", "member")
+    return _strong(_accepted(spark, sf_dir)).select("cluster_id", "member")
 
 
 def cluster_keep(spark, sf_dir):
-    return clustering.keepers(_strong(spark, sf_dir), src.images(spark, sf_dir))
+    return clustering.keepers(_strong(_accepted(spark, sf_dir)), src.images(spark, sf_dir))
 
 
 def near_reclaimable(spark, sf_dir):
-    return clustering.reclaimable(_strong(spark, sf_dir), src.images(spark, sf_dir))
+    return clustering.reclaimable(written(_strong(_accepted(spark, sf_dir)), "clusters"), src.images(spark, sf_dir))
 
 
-def _report(spark, sf_dir):
+def _report(spark, sf_dir, core=0.0):
+    """Exact groups, near groups and refused merges; scores and clusters are made once."""
     files = src.sized(src.files(spark, sf_dir))
     first = report.exact_rows(exact.exact_groups(files), files)
-    near = report.near_rows(_strong(spark, sf_dir), src.images(spark, sf_dir), src.scored(spark, sf_dir))
-    return first, near
+    scored = written(src.scored(spark, sf_dir), "scored")
+    found = written(clustering.clustered(scored.where("verdict = 1").select("a", "b", "probability"), core), "clusters")
+    near = report.near_rows(found.where("member IS NOT NULL"), src.images(spark, sf_dir), scored)
+    return first, near, clustering.blocked(found)
 
 
 def report_groups(spark, sf_dir):
-    return report.numbered(*_report(spark, sf_dir))
+    return report.numbered(*_report(spark, sf_dir)[:2])
 
 
 def report_summary(spark, sf_dir):
-    found = clustering.clustered(_accepted(spark, sf_dir), core=0.0)
-    return report.summary(*_report(spark, sf_dir), clustering.blocked(found))
+    return report.summary(*_report(spark, sf_dir))
 
 
 def report_near_json(spark, sf_dir):
     """Near groups as JSON rows, with evidence."""
-    near = report.near_rows(clustering.clustered(_accepted(spark, sf_dir)).where("member IS NOT NULL"), src.images(spark, sf_dir), src.scored(spark, sf_dir))
+    near = _report(spark, sf_dir, clustering.CORE)[1]
     return near.select("rank", F.to_json(F.struct(*near.columns)).alias("json"))
 
 
 def groups_at_threshold(spark, sf_dir):
-    near = _report(spark, sf_dir)[1]
-    shown = report.groups_at(near, 0.5)
+    shown = report.groups_at(_report(spark, sf_dir)[1], 0.5)
     return shown.select("rank", F.size("members").alias("members"), F.size("pairs").alias("pairs"), "reclaimable_bytes")
 
 

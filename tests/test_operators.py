@@ -343,3 +343,17 @@ def test_truth_from_names(spark):
     found = true.limit(2).unionByName(spark.createDataFrame([("a", "b")], "a string, b string"))
     assert tuple(evaluate.confusion(true, found).first()) == (2, 1, 1)
     assert evaluate.false_positives(true, found).count() == 1 and evaluate.true_positives(true, found).count() == 2 and evaluate.false_negatives(true, found).count() == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_running_numbers_and_sums(spark, n):
+    from echofold.operators.running import numbered, running_sums
+
+    df = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(1009)).alias("x"))
+    got = [(r["x"], r["id"]) for r in numbered(df, [F.col("x").desc()]).collect()]
+    assert sorted(got) == sorted((x, k) for k, x in enumerate(sorted((i * 7919 % 1009 for i in range(n)), reverse=True)))
+    sums = {r["x"]: r["s"] for r in running_sums(df, [F.col("x")], {"s": F.col("x")}).collect()}
+    total = 0
+    for x in sorted(sums):
+        total += x
+        assert sums[x] == total
