@@ -176,6 +176,12 @@ ORACLE_SQL = {
           WHERE size_bytes IN (SELECT size_bytes FROM files GROUP BY size_bytes HAVING count(*) >= 2)) h,
         (SELECT count(*) AS groups, coalesce(sum(n_members), 0)::BIGINT AS members, coalesce(sum(reclaimable_bytes), 0)::BIGINT AS reclaimable_bytes FROM groups) g""",
     ),
+    "exact_hash_fnv1a": _with(
+        _FILES,
+        """, bytes AS (SELECT file_id, regexp_extract_all((['FFD8FF', '89504E470D0A1A0A', ''])[kind + 1] || hex(encode(text)), '..') AS d FROM files)
+        SELECT file_id, lpad(lower(to_hex(list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(d, lambda x: ('0x' || x)::UHUGEINT)),
+          lambda a, x: (xor(a, x) * 1099511628211) % 18446744073709551616)::UBIGINT)), 16, '0') AS hash FROM bytes""",
+    ),
     "ahash": _with(_HASHED, f"SELECT id, {_hex('ahash')} FROM hashes"),
     "dhash": _with(_HASHED, f"SELECT id, {_hex('dhash')} FROM hashes"),
     "phash": _with(_HASHED, f"SELECT id, {_hex('phash')} FROM hashes"),
