@@ -69,3 +69,19 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda c: read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(c), F.col("label").alias(f"label_{c}"))
     rows = scored(spark, sf_dir).join(of("a"), "a").join(of("b"), "b")
     return rows.withColumn("label", (F.col("label_a") == F.col("label_b")).cast("int"))
+
+
+def pictures(spark: SparkSession, sf_dir: str, side: int = 9) -> DataFrame:
+    """(base, width, height, rgb): images of 8 by 8 cells of `side` pixels, coloured as in images()."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            px = batch.column("px").flatten().to_numpy(zero_copy_only=False).reshape(-1, 64).astype(np.uint8)
+            colours = np.stack([px, np.roll(px, -21, 1), np.roll(px, -42, 1)], 2).reshape(-1, 8, 8, 3)
+            whole = colours.repeat(side, 1).repeat(side, 2)
+            n = pa.array([8 * side] * len(px), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), n, n, pa.array([x.tobytes() for x in whole], pa.binary())], names=["base", "width", "height", "rgb"])
+
+    return thumbnails(spark, sf_dir).select("id", "px").mapInArrow(run, "base string, width int, height int, rgb binary")

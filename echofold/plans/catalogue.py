@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from echofold.functions.features import FEATURES
 from echofold.functions.signatures import HASHES, as_hex
-from echofold.operators import clustering, evaluate, exact, graph, matching, report, scoring, training
+from echofold.operators import clustering, evaluate, exact, graph, matching, report, scoring, training, transforms
 from echofold.plans import adapters as src
 from echofold.plans.oracle import ORACLE_SQL
 from echofold.session import written
@@ -336,6 +336,18 @@ def name_parts(spark, sf_dir):
     return rows.select("doc_id", "p.base", "p.transform")
 
 
+def derived_recall(spark, sf_dir):
+    """Altered copies of every image against their originals: how many the matcher's radii reach, by transform."""
+    made = written(transforms.derive(src.pictures(spark, sf_dir)), "derived")
+    side = lambda d, s: d.select("base", "transform", F.struct(*HASHES).alias(s))
+    both = side(made.where("transform = 'original'"), "a").drop("transform").join(side(made.where("transform != 'original'"), "b"), "base")
+    d = matching.distances()
+    reached = both.withColumns(d).withColumn("label", F.lit(1))
+    r = matching.RADII
+    near = (F.col("d_ahash") <= r["ahash"]) | (F.col("d_dhash") <= r["dhash"]) | (F.col("d_phash") <= r["phash"]) | (F.col("d_dhash_oriented") <= r["dhash"])
+    return evaluate.recall_by_group(reached.withColumn("verdict", near.cast("int")), "transform").select("transform", "pairs", _six("recall"), "weak")
+
+
 def train_logreg(spark, sf_dir):
     rows = src.labelled(spark, sf_dir).where(_split("a") == "train")
     return training.coefficients(training.train(rows), spark)
@@ -350,6 +362,6 @@ QUERIES = {
         components, clusters, clusters_core_half, cluster_blocked, clusters_strong, cluster_keep, near_reclaimable, report_groups, report_summary, report_near_json, groups_at_threshold,
         split_by_base, hashed_split, positives, negatives, mine_negatives, mined_unknown_bases, mined_distance_hist, merge_hard_negatives,
         baseline_grid, best_baseline, pr_threshold, eval_metrics, average_precision, recall_by_group, distance_quantiles,
-        truth_pairs, pair_confusion, tp_pairs, fp_pairs, fn_pairs, recall_by_transform, name_parts, train_logreg,
+        truth_pairs, pair_confusion, tp_pairs, fp_pairs, fn_pairs, recall_by_transform, name_parts, derived_recall, train_logreg,
     )
 } | {"ahash": _hashes("ahash"), "dhash": _hashes("dhash"), "phash": _hashes("phash"), "dhash_orientations": _hashes(*[h for h in HASHES if h.startswith("dhash_")])}

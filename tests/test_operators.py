@@ -357,3 +357,20 @@ def test_running_numbers_and_sums(spark, n):
     for x in sorted(sums):
         total += x
         assert sums[x] == total
+
+
+def test_transforms_keep_what_they_should():
+    from echofold.operators import transforms as t
+
+    image = np.kron(np.random.RandomState(1).randint(0, 256, (6, 8, 3)), np.ones((10, 10, 1))).astype(np.uint8)
+    for name, (kernel, strengths) in (t.TRANSFORMS | t.CROPS).items():
+        for s in strengths:
+            made = kernel(image, s)
+            assert made.dtype == np.uint8 and made.ndim == 3, name
+    assert t.scaled(image, 0.5).shape == (30, 40, 3) and t.cropped(image, 0.25).shape == (30, 40, 3)
+    assert (t.flipped(t.flipped(image, 0), 0) == image).all() and (t.lossless(image, 0) == image).all() and (t.brighter(image, 1.0) == image).all()
+    assert np.abs(t.quantised(image, 95).astype(int) - image).mean() < np.abs(t.quantised(image, 10).astype(int) - image).mean() < 40
+    flat = np.full((20, 20, 3), 77, np.uint8)
+    assert (t.blurred(flat, 2.0) == flat).all() and (t.more_colour(flat, 1.6) == flat).all() and (t.tilted(flat, 6)[5:15, 5:15] == 77).all()
+    assert (t.top_banner(flat, 240)[:6] == 240).all() and (t.corner_bar(flat, 20)[-8:, :11] == 20).all()
+    assert t.chosen("x", 3) == t.chosen("x", 3) and len({n for n, _ in t.chosen("x", 3)}) == 3
