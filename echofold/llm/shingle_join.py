@@ -31,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.llm import _common
 from echofold.llm._common import table, written
-from echofold.llm._packed import mix, pack, runs, unpack
+from echofold.llm._packed import from_planes, mix, pack, planes, runs, unpack
 from echofold.operators.graph import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -111,8 +112,9 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-# Rows of the exchange. kind 0: a document (doc_id, n, digest). kind 1: sets' hashes of a bucket. kind 2: frequent
-# hashes of a bucket. kind 3: hashes that several sets hold, with their sets.
+# Rows of the exchange. kind 0: a document (doc_id, n, digest). A task numbers its sets within lots; kind 1: a lot's
+# hashes of a bucket; kind 2: frequent hashes of a bucket; kind 3: hashes that several sets hold, sent to the lot's
+# home; kind 4: digests and sizes of a lot's sets, sent there too.
 DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("payload", pa.binary())])
 DEALT_SQL = "bucket int, kind int, doc_id long, n long, digest long, payload binary"
 
@@ -125,16 +127,24 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), DEALT)] if rows else [pa.array([], f.type) for f in DEALT], schema=DEALT)
 
 
-def _deal_shared(sets: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, classes: np.ndarray, homes: int) -> list[tuple]:
-    """Rows of kind 3: (set, size, hash, class) dealt by set."""
-    to = (sets % np.uint64(homes)).astype(np.int64)
-    order = np.lexsort((sets, to))
+#: Sets of a lot are numbered in so many bits.
+LOT_BITS = 24
+
+
+def _homes(lots: np.ndarray, homes: int) -> np.ndarray:
+    return (mix(lots.astype(np.uint64)) % np.uint64(homes)).astype(np.int64)
+
+
+def _deal_shared(places: np.ndarray, hashes: np.ndarray, classes: np.ndarray, homes: int) -> list[tuple]:
+    """Rows of kind 3: (lot and set, hash, class) dealt by lot."""
+    to = _homes(places >> np.uint64(LOT_BITS), homes)
+    order = np.lexsort((places, to))
     ends = runs(to[order])
     rows = []
     for a, b in zip(ends[:-1], ends[1:]):
         k = order[a:b]
-        r = runs(sets[k])
-        rows.append(_row(int(to[k[0]]), 3, pack(sets[k][r[:-1]], sizes[k][r[:-1]].astype("<u4"), np.diff(r).astype("<u4"), hashes[k], classes[k].astype(np.uint8))))
+        # Places in order: small steps, however few hashes a set has here.
+        rows.append(_row(int(to[k[0]]), 3, pack(planes(np.diff(places[k], prepend=np.uint64(0)), 8), planes(hashes[k], 8), classes[k].astype(np.uint8))))
     return rows
 
 
@@ -145,17 +155,19 @@ def _deal(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
         seen: set[int] = set()
         sets: list[np.ndarray] = []
         names: list[int] = []
-        held = 0
+        held = lots = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal sets, names, held
+            nonlocal sets, names, held, lots
+            # The rows of a partition come in one order, so a task that runs again makes the same lots.
+            lot = np.uint64((TaskContext.get().partitionId() << 16) + lots)
             sizes = np.array([len(s) for s in sets])
             all_hashes = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), sizes)
-            digests = np.array(names, np.uint64)
+            place = lot << np.uint64(LOT_BITS) | owner.astype(np.uint64)
             bucket = (((all_hashes >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.uint16)
             low = all_hashes & np.uint64((1 << 48) - 1)
-            rows = []
+            rows = [_row(int(_homes(np.array([lot]), homes)[0]), 4, pack(np.array([lot]), np.array(names, np.uint64), sizes.astype("<u4")))]
             order = np.argsort(all_hashes)
             ends = runs(all_hashes[order])
             many = np.diff(ends) >= FREQUENT
@@ -164,7 +176,7 @@ def _deal(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
                 common[order] = np.repeat(many, np.diff(ends))
                 k = np.flatnonzero(common)
                 full = low[k] | bucket[k].astype(np.uint64) << np.uint64(48)
-                rows += _deal_shared(digests[owner[k]], sizes[owner[k]], full, np.full(len(k), LAST), homes)
+                rows += _deal_shared(place[k], full, np.full(len(k), LAST), homes)
                 heads = order[ends[:-1][many]]
                 for b in np.unique(bucket[heads]):
                     rows.append(_row(int(b), 2, pack(low[heads[bucket[heads] == b]])))
@@ -174,10 +186,8 @@ def _deal(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
             ends = runs(bucket[order])
             for a, b in zip(ends[:-1], ends[1:]):
                 k = order[a:b]
-                r = runs(owner[k])
-                of = owner[k[r[:-1]]]
-                six = low[k].view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append(_row(int(bucket[k[0]]), 1, pack(digests[of], sizes[of].astype("<u4"), np.diff(r).astype("<u4"), six)))
+                rows.append(_row(int(bucket[k[0]]), 1, pack(np.array([lot]), planes(np.diff(owner[k], prepend=0), 3), planes(low[k], 6))))
+            lots += 1
             sets, names, held = [], [], 0
             return _table(rows)
 
@@ -209,34 +219,23 @@ def _count(homes: int):
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
-        through = t.filter(pa.array((kind == 0) | (kind == 3)))
+        through = t.filter(pa.array((kind != 1) & (kind != 2)))
         payloads = t.column("payload")
-        own, frequent = [unpack(payloads[i].as_py(), "<u8", "<u4", "<u4", np.uint8) for i in np.flatnonzero(kind == 1)], [unpack(payloads[i].as_py(), "<u8")[0] for i in np.flatnonzero(kind == 2)]
+        read = lambda k, *kinds: [unpack(payloads[int(i)].as_py(), *kinds) for i in np.flatnonzero(kind == k)]
+        own, frequent = read(1, "<u8", np.uint8, np.uint8), read(2, "<u8")
         rows: list[tuple] = []
         if own:
-            wide = [np.zeros((len(x[3]) // 6, 8), np.uint8) for x in own]
-            for w, x in zip(wide, own):
-                w[:, :6] = x[3].reshape(-1, 6)
-            low = np.concatenate([w.view("<u8").ravel() for w in wide])
-            run_of = np.concatenate([np.repeat(np.arange(len(x[2])) + n, x[2]) for x, n in zip(own, np.cumsum([0] + [len(x[2]) for x in own]))])
-            digests, sizes = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
+            places = np.concatenate([x[0] << np.uint64(LOT_BITS) | np.cumsum(from_planes(x[1], 3), dtype=np.uint64) for x in own])
+            low = np.concatenate([from_planes(x[2], 6) for x in own])
             order = np.argsort(low)
             ends = runs(low[order])
-            several = np.repeat(np.diff(ends) > 1, np.diff(ends))
-            common = np.unique(np.concatenate(frequent)) if frequent else np.zeros(0, np.uint64)
-            at = order[several | np.isin(low[order], common)] if len(common) else order[several]
-            # The same set may have come from several tasks; it counts once.
-            at = at[np.lexsort((digests[run_of[at]], low[at]))]
-            h, d = low[at], digests[run_of[at]]
-            once = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(at)]
-            at, h, d = at[once], h[once], d[once]
-            ends = runs(h)
             df = np.repeat(np.diff(ends), np.diff(ends))
-            known = np.isin(h, common) if len(common) else np.zeros(len(h), bool)
+            common = np.unique(np.concatenate([x[0] for x in frequent])) if frequent else np.zeros(0, np.uint64)
+            known = np.isin(low[order], common) if len(common) else np.zeros(len(order), bool)
             keep = (df > 1) | known
             classes = np.where(known, LAST, np.minimum(df, LAST - 1))[keep]
-            full = h[keep] | np.uint64(key[0].as_py() << 48)
-            rows = _deal_shared(d[keep], sizes[run_of[at]][keep], full, classes, homes)
+            at = order[keep]
+            rows = _deal_shared(places[at], low[at] | np.uint64(key[0].as_py() << 48), classes, homes)
         return pa.concat_tables([through.cast(DEALT), pa.Table.from_batches([_table(rows)])])
 
     return run
@@ -247,20 +246,23 @@ SETS_SQL = "digest long, n long, hashes binary"
 
 def _assemble(key: tuple, t: pa.Table) -> pa.Table:
     """Sets of which at least four fifths occur elsewhere: their shared hashes, rarest first."""
-    own = [unpack(p.as_py(), "<u8", "<u4", "<u4", "<u8", np.uint8) for p in t.column("payload")]
-    digests = np.concatenate([np.repeat(x[0], x[2]) for x in own])
-    sizes = np.concatenate([np.repeat(x[1], x[2]) for x in own])
-    hashes, classes = np.concatenate([x[3] for x in own]), np.concatenate([x[4] for x in own])
-    order = np.lexsort((hashes, classes, digests))
-    d, h = digests[order], hashes[order]
-    once = np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]))
-    order, d = order[once], d[once]
-    ends = runs(d)
+    kind = t.column("kind").to_numpy()
+    payloads = t.column("payload")
     out = []
-    for a, b in zip(ends[:-1], ends[1:]):
-        n = int(sizes[order[a]])
-        if 100 * (b - a) >= PERCENT * n:
-            out.append((int(d[a : a + 1].view(np.int64)[0]), n, hashes[order[a:b]].tobytes()))
+    own = [unpack(payloads[int(i)].as_py(), *[np.uint8] * 3) for i in np.flatnonzero(kind == 3)]
+    names = {int(x[0][0]): (x[1], x[2]) for x in (unpack(payloads[int(i)].as_py(), "<u8", "<u8", "<u4") for i in np.flatnonzero(kind == 4))}
+    if own:
+        places = np.concatenate([np.cumsum(from_planes(x[0], 8), dtype=np.uint64) for x in own])
+        hashes, classes = np.concatenate([from_planes(x[1], 8) for x in own]), np.concatenate([x[2] for x in own])
+        order = np.lexsort((hashes, classes, places))
+        ends = runs(places[order])
+        for a, b in zip(ends[:-1], ends[1:]):
+            place = int(places[order[a]])
+            digests, sizes = names[place >> LOT_BITS]
+            i = place & (1 << LOT_BITS) - 1
+            n = int(sizes[i])
+            if 100 * (b - a) >= PERCENT * n:
+                out.append((int(digests[i : i + 1].view(np.int64)[0]), n, hashes[order[a:b]].tobytes()))
     cols = list(zip(*out)) or [[], [], []]
     return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["digest", "n", "hashes"])
 
@@ -441,7 +443,7 @@ def components(docs: DataFrame) -> DataFrame:
     dealt = _deal(docs, buckets, homes).groupBy("bucket").applyInArrow(_count(homes), DEALT_SQL)
     counted = written(dealt, "shingles")
     rows = counted.where("kind = 0").select("doc_id", "n", "digest")
-    sets = written(counted.where("kind = 3").groupBy("bucket").applyInArrow(_assemble, SETS_SQL), "sets")
+    sets = written(counted.where("kind >= 3").groupBy("bucket").applyInArrow(_assemble, SETS_SQL).dropDuplicates(["digest"]), "sets")
     heads = sets.mapInArrow(_prefixes, "hash long, digest long")
     least = heads.groupBy("hash").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most")
     coarse = connected_components(heads.join(least, "hash").select(F.col("digest").alias("a"), F.col("least").alias("b")))

@@ -157,15 +157,13 @@ def _find(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
                 stay[later] = False
                 k = np.flatnonzero(stay)
                 bucket = ((gram[k] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-                k = k[np.argsort(bucket, kind="stable")]
-                bucket = np.sort(bucket)
+                order = np.lexsort((doc[k], bucket))
+                k, bucket = k[order], bucket[order]
                 ends = runs(bucket)
                 for a, b in zip(ends[:-1], ends[1:]):
                     own = k[a:b]
-                    r = runs(doc[own])
-                    step = np.diff(first[own], prepend=0)
-                    step[r[:-1]] = first[own[r[:-1]]]
-                    rows.append((int(bucket[a]), STRETCHES, pack(planes(doc[own[r[:-1]]].view(np.uint64), 8), planes(np.diff(r), 4), planes(gram[own] & np.uint64((1 << 48) - 1), 5), planes(text[own], 6), planes(step, 4), more[own].astype(np.uint8))))
+                    step = np.diff(doc[own], prepend=0).view(np.uint64)  # ids in order: small steps, however many buckets there are
+                    rows.append((int(bucket[a]), STRETCHES, pack(planes(step, 8), planes(gram[own] & np.uint64((1 << 48) - 1), 5), planes(text[own], 6), planes(first[own], 4), more[own].astype(np.uint8))))
             held, spans, size = [], [], 0
             return _rows(rows)
 
@@ -225,19 +223,14 @@ def _match(homes: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
         payload = t.column("payload")
-        own = [unpack(payload[int(i)].as_py(), *[np.uint8] * 6) for i in np.flatnonzero(kind == STRETCHES)]
+        own = [unpack(payload[int(i)].as_py(), *[np.uint8] * 5) for i in np.flatnonzero(kind == STRETCHES)]
         rows: list[tuple[int, int, bytes]] = []
         if own:
-            docs, counts = [from_planes(x[0], 8).view(np.int64) for x in own], [from_planes(x[1], 4).astype(np.int64) for x in own]
-            doc = np.concatenate([np.repeat(d, c) for d, c in zip(docs, counts)])
-            gram = np.concatenate([from_planes(x[2], 5) for x in own])
-            text = np.concatenate([from_planes(x[3], 6) for x in own])
-            step = np.concatenate([from_planes(x[4], 4) for x in own]).astype(np.int64)
-            more = np.concatenate([x[5] for x in own]).astype(np.int64)
-            # Places are sums of steps within each document's run.
-            head = np.cumsum(np.concatenate(counts)) - np.concatenate(counts)
-            total = np.cumsum(step)
-            first = total - np.repeat(total[head] - step[head], np.concatenate(counts))
+            doc = np.concatenate([np.cumsum(from_planes(x[0], 8), dtype=np.uint64).view(np.int64) for x in own])
+            gram = np.concatenate([from_planes(x[1], 5) for x in own])
+            text = np.concatenate([from_planes(x[2], 6) for x in own])
+            first = np.concatenate([from_planes(x[3], 4).astype(np.uint32) for x in own])
+            more = np.concatenate([x[4] for x in own]).astype(np.int64)
             order = np.argsort(gram)
             ends = runs(gram[order])
             order = order[np.repeat(np.diff(ends) > 1, np.diff(ends))]
