@@ -46,6 +46,8 @@ LENGTH, GRAM = 50, 24
 BLOCK, FLUSH = 1 << 18, 600_000
 #: From so many different stretches with one gram on, they are dealt out window by window.
 MANY = 20_000
+#: Windows that are put in order at once.
+SLICE = 100_000
 LAST_ID = 2**63 - 1
 
 _rng = np.random.RandomState(97)
@@ -330,6 +332,26 @@ def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], common]).astype(np.int64)[:n]
 
 
+def _slices(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of windows in stretches of the suffix order, cut where the first eight bytes change.
+
+    Windows of two slices share no long prefix, so each slice is sorted alone
+    and memory is bounded by SLICE, or by the windows with one beginning.
+    """
+    key = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        key = key << np.uint64(8) | data[at + k]
+    order = np.argsort(key)
+    ends = runs(key[order])
+    begin = 0
+    for a, b in zip(ends[:-1], ends[1:]):
+        if b - begin > SLICE and a > begin:
+            yield order[begin:a]
+            begin = a
+    if begin < len(order):
+        yield order[begin:]
+
+
 def longest_previous(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The longest previous factor at each place of a suffix order.
 
@@ -369,10 +391,12 @@ def _sort(homes: int) -> Callable[[tuple, pa.Table], pa.Table]:
             begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(begin, n) + inner
-            order, common = suffix_order(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at])
+            windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
             who, where = np.repeat(doc, n), np.repeat(first.astype(np.int64), n) + inner
             found = np.zeros(len(at), bool)
-            found[order] = longest_previous(who[order], common) >= LENGTH
+            for part in _slices(data, at):
+                order, common = suffix_order(windows[at[part]])
+                found[part[order]] = longest_previous(who[part[order]], common) >= LENGTH
             k = np.flatnonzero(found)
             if len(k):
                 # Windows next to each other make one span.
@@ -438,8 +462,8 @@ def docs_by_bucket(docs: DataFrame, homes: int, columns: list[str]) -> DataFrame
 
 def _removed(docs: DataFrame, finish, schema: pa.Schema, sql: str, columns: list[str]) -> DataFrame:
     """All steps as one plan, so that the exchange of the documents is made once and used twice."""
-    # Documents have fewer buckets than grams: each group of grams has at most one row for each of them.
-    buckets, homes = _common.buckets(docs.sparkSession, 2), _common.buckets(docs.sparkSession, 1)
+    # A group of grams makes a row for each bucket of documents, so neither are more than the partitions.
+    buckets = homes = _common.buckets(docs.sparkSession, 1)
     by_bucket = docs_by_bucket(docs, homes, columns)
     matched = _find(docs, buckets, homes).groupBy("bucket").applyInArrow(_match(homes), EXCHANGED_SQL)
     told = by_bucket.groupBy("bucket").cogroup(matched.groupBy("bucket")).applyInArrow(_answer(buckets), EXCHANGED_SQL)

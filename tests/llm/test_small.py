@@ -142,7 +142,7 @@ def brute_removals(rows):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"MANY": 2, "BLOCK": 200, "FLUSH": 500}])
+@pytest.mark.parametrize("limits", [{}, {"MANY": 2, "BLOCK": 200, "FLUSH": 500, "SLICE": 50}])
 def test_removals_equal_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(suffix_dedup, k, v)
