@@ -351,7 +351,7 @@ def test_the_rank_file_gives_the_tokenizers_ids():
 
     exact, fast = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder()
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    texts = ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}b  {chr(c)}." for c in points[k : k + 50]) for k in range(0, len(points), 50)][::4]
+    texts = ["".join(f"a{chr(c)}1{chr(c)} {chr(c)}b  {chr(c)}." for c in points[k : k + 50]) for k in range(0, len(points), 50)]
     texts += ["x <|endoftext|> y<|endoftext|>", "", " ", "it's 'S we'LL\n\n\n  z"]
     for t, e in zip(texts, exact.encode_batch(texts, add_special_tokens=False)):
         assert e.ids == fast(t).tolist()
