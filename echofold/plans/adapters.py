@@ -57,7 +57,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str, radii: dict[str, int] | None = None) -> DataFrame:
-    return matching.candidates(hashed(spark, sf_dir), radii)
+    blocks = matching.blocks_for(read(spark, sf_dir, "embeddings").count())  # counted before anything is hashed
+    return matching.candidates(hashed(spark, sf_dir), radii, blocks)
 
 
 def scored(spark: SparkSession, sf_dir: str, model: scoring.Classifier | None = None) -> DataFrame:
