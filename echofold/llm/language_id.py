@@ -12,9 +12,14 @@ Trees are kept as tables over all languages: for each seen (context, byte) of
 each depth a row of costs, escapes included, so that a byte takes one lookup
 where its longest context is known.
 
+The score is the winner's share of the odds that the exact code lengths give,
+2^-bits over the sum of all languages' 2^-bits, whatever the text's length.
+
 The language is 'und' with score 0 where the text is null or has no letter, or
 where nothing could be learned. Rows with null lang or null text teach nothing.
-Repeated rows and null ids pass through.
+Equal code lengths go to the first language by name. Repeated rows and null ids
+pass through; other columns are left out. Very long texts are coded whole,
+BLOCK bytes at a time. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +35,10 @@ from pyspark.sql import functions as F
 from echofold.llm._common import held_out, table
 
 ORDER = 4
-#: Each language's tree is fitted on at most so many documents, and so many characters of each.
+#: Each language's tree is fitted on the whole texts of at most so many documents.
 TRAIN_DOCS = 200
-TRAIN_CHARS = 20_000
+#: More distinct values of lang than this are an error: each has a tree in every task.
+MAX_LANGUAGES = 500
 UNKNOWN = "und"
 #: Bytes that are scored at once.
 BLOCK = 1 << 20
@@ -201,15 +207,14 @@ class ContextTrees:
         return sums
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """(language, score, bits per byte); the score is the winner's share, in odds of whole code lengths per kilobyte at most."""
+        """(language, score, bits per byte); the score is the winner's share in odds of whole code lengths."""
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         if not self.languages:
             return [(UNKNOWN, 0.0, 0.0)] * len(texts)
         bits = self.code_lengths(raw)
         best = bits.argmin(1)
         n = np.array([max(1, len(x)) for x in raw], np.float64)
-        lead = (bits - bits.min(1, keepdims=True)) * np.minimum(1.0, 1024 / n)[:, None]
-        score = 1 / np.exp2(-np.minimum(lead, 1000)).sum(1)
+        score = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
         out = []
         for t, b, s, x, m in zip(texts, best, score, bits.min(1), n):
             letter = t is not None and any(c.isalpha() for c in t)
@@ -217,21 +222,24 @@ class ContextTrees:
         return out
 
 
-def sample(docs: DataFrame, per_language: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, list[bytes]]:
+def sample(docs: DataFrame, per_language: int = TRAIN_DOCS) -> dict[str, list[bytes]]:
     """The training texts of each language: those with the smallest hash of their id.
 
     Counts by language over all rows give a hash bound under which enough rows
     lie; only these come to the driver, about per_language of each language.
+    More than MAX_LANGUAGES languages raise an error.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} distinct values")
     if not counts:
         return {}
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("language")), F.lit(1 << 30))
     wanted = per_language + 6 * per_language**0.5 + 20
     bounds = docs.sparkSession.createDataFrame([(k, min(1 << 30, int((1 << 30) * min(1.0, wanted / n)) + 1)) for k, n in counts.items()], "_lang string, _bound long")
     few = known.withColumn("_place", place).join(F.broadcast(bounds), (F.col("lang") == F.col("_lang")) & (F.col("_place") < F.col("_bound")))
-    rows = few.select("lang", "_place", "doc_id", F.substring("text", 1, chars).alias("text")).collect()
+    rows = few.select("lang", "_place", "doc_id", "text").collect()
     found: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["_place"], r["doc_id"], r["text"])):
         own = found.setdefault(r["lang"], [])
