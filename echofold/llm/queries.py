@@ -17,6 +17,7 @@ QUERIES = {
     "op10_shingle_join": shingle_join.query,
 }
 ORACLE_SQL = {
+    "op2_vantage_search": vantage_search.ORACLE,
     "op5_warc": warc.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
 }
