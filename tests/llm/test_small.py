@@ -109,13 +109,42 @@ def test_exact_search_equals_brute_force(spark, monkeypatch):
         assert [(a, b) for a, b, _ in sorted(got[q])] == [(k + 1, i) for k, i in enumerate(best)]
 
 
-def test_production_factor_finds_most(spark):
+@pytest.mark.parametrize("kind", ["orthogonal", "one-hot", "grid"])
+def test_ties_go_to_the_smaller_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(vantage_search, "LEAF", 16)
+    monkeypatch.setattr(vantage_search, "FEW_ROWS", 100)
+    r = np.random.RandomState(8)
+    if kind == "orthogonal":  # 400 different vectors, none with anything in common with the query
+        x = np.concatenate([np.eye(1, 8), np.concatenate([np.zeros((400, 1)), r.randn(400, 7)], 1)])
+    elif kind == "one-hot":
+        x = np.eye(60)
+    else:
+        x = r.randint(-1, 2, (500, 4)).astype(float)
+        x[:, 0] = 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in vantage_search.search(df, df.where("vec_id % 20 = 0"), 20, 1.0).collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"]))
+    for q in range(0, len(x), 20):
+        s = (x * x[q]).sum(1)
+        best = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:20]
+        assert sorted(got[q]) == [(k + 1, i) for k, i in enumerate(best)]
+
+
+def test_smaller_factors_look_at_less():
     r = np.random.RandomState(4)
-    x = r.randn(3000, 32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    held = vantage_search.Tree(x, 1.0).search(x[:100], 21, vantage_search.FACTOR)
-    want = np.argsort(-(x[:100] @ x.T), axis=1)[:, :21]
-    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(held.tolist(), want.tolist())]) > 0.9
+    x = r.randn(40, 8)[r.randint(0, 40, 6000)] + 0.2 * r.randn(6000, 8)  # in clusters
+    top = float(np.linalg.norm(x, axis=1).max())
+    want = [set(row) for row in np.argsort(-(x[:100] @ x.T), axis=1)[:, :20].tolist()]
+    looked = []
+    for factor in (1.0, 0.6):
+        tree = vantage_search.Tree(x, top)
+        who, rows = tree.search(x[:100], 20, factor)
+        found = [set(rows[who == i].tolist()) for i in range(100)]
+        share = np.mean([len(a & b) / 20 for a, b in zip(want, found)])
+        assert share == 1 if factor == 1 else share > 0.9
+        looked.append(tree.visited)
+    assert looked[1] < looked[0] < 100 * len(x)
 
 
 def test_vectors_that_take_no_part(spark):
@@ -192,15 +221,16 @@ def test_gradients_equal_differences():
     y, w = np.array([1.0, 0, 1, 0]), np.ones(4)
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
-    _, g = net.gradients(x, mask, y, w)
-    for k, p in net.p.items():
+    _, g, d_x = net.gradients(x, mask, y, w)
+    for k, p in [*((k, p) for k, p in net.p.items() if k in g), ("x", x)]:
+        wanted = d_x if k == "x" else g[k]
         flat, at = p.reshape(-1), p.size // 2
         flat[at] += 1e-3
         up = net.gradients(x, mask, y, w)[0]
         flat[at] -= 2e-3
         down = net.gradients(x, mask, y, w)[0]
         flat[at] += 1e-3
-        assert (up - down) / 2e-3 == pytest.approx(g[k].reshape(-1)[at], rel=1e-2, abs=1e-6)
+        assert (up - down) / 2e-3 == pytest.approx(wanted.reshape(-1)[at], rel=1e-2, abs=1e-6)
 
 
 @pytest.fixture(scope="module")
@@ -223,6 +253,64 @@ def test_held_out_accuracy(scorer):
     assert ((own.score(texts) >= 0.5) == labels).mean() > 0.95
 
 
+def plain_score(own, text):
+    """One window at a time, one word at a time, one number at a time."""
+    p, h = own.network.p, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    w = toxicity.split(text.encode())
+    x = []
+    for k in range(len(w.word)):
+        a, b = int(w.cuts[2 * k]), int(w.cuts[2 * k + 1])
+        four, five = [own.odds.gram4[g] for g in w.gram4[a:b]], [own.odds.gram5[g] for g in w.gram5[a:b]]
+        chars = np.mean([p["chars"][g >> toxicity.FEWER] for g in w.gram4[a:b]], axis=0)
+        x.append([own.odds.word[w.word[k]], max(four), max(five), sum(four) / (b - a), min(24, b - a) / 24, 1, *p["words"][w.word[k] >> toxicity.FEWER], *chars])
+    best = -math.inf
+    for start in range(0, max(1, len(x) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        own_words = x[start : start + toxicity.WINDOW]
+        both = [[None] * (2 * h) for _ in own_words]
+        for d in (0, 1):
+            state = [0.0] * h
+            for t in range(len(own_words)) if d == 0 else range(len(own_words) - 1, -1, -1):
+                given = [sum(own_words[t][i] * p["W"][d, i, j] for i in range(toxicity.INPUTS)) + p["c"][d, 0, j] for j in range(3 * h)]
+                kept = [sum(state[i] * p["U"][d, i, j] for i in range(h)) for j in range(3 * h)]
+                z = [sigmoid(given[j] + kept[j]) for j in range(h)]
+                r = [sigmoid(given[h + j] + kept[h + j]) for j in range(h)]
+                new = [math.tanh(given[2 * h + j] + r[j] * kept[2 * h + j]) for j in range(h)]
+                state = [new[j] + z[j] * (state[j] - new[j]) for j in range(h)]
+                both[t][d * h : d * h + h] = state
+        weight = [math.exp(sum(a * b for a, b in zip(s, p["att"]))) for s in both]
+        pooled = [sum(e * s[j] for e, s in zip(weight, both)) / sum(weight) for j in range(2 * h)]
+        best = max(best, sum(a * b for a, b in zip(pooled, p["out"])) + p["bias"][0])
+    return sigmoid(best)
+
+
+def test_scores_equal_a_plain_forward_pass(scorer):
+    own, texts, _ = scorer
+    for text in [texts[0], texts[1] + " zorg " + texts[2], "Quxx", " ".join(texts[3].split()[:40])]:
+        assert own.score([text])[0] == pytest.approx(plain_score(own, text), abs=1e-4)
+
+
+def test_odds_equal_a_plain_count():
+    texts, labels = ["aa bb", "aa aa", "cc bb", "bb cc dd"], np.array([1, 1, 0, 0])
+    odds = toxicity.Odds.fit((toxicity.split(t.encode()) for t in texts), labels)
+    for word, toxic, other in (("aa", 2, 0), ("bb", 1, 2), ("dd", 0, 1)):
+        n = toxic + other
+        want = (math.log(toxic / 2 + 1) - math.log(other / 2 + 1)) * n / (n + 3)
+        assert odds.word[toxicity.split(word.encode()).word[0]] == pytest.approx(min(5, max(-3, want)) / 2, rel=1e-5)
+
+
+def test_stage_of_odd_rows(spark, odd, monkeypatch, scorer):
+    labels = spark.createDataFrame([(7, 0)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "table", lambda *_: labels)
+    assert toxicity.stage(spark, odd, "").count() == len(ODD)  # nothing was learned
+    monkeypatch.setattr(toxicity, "fit", lambda *_: scorer[0])
+    bad = documents(spark, [*ODD, (50, (scorer[1][0] + " zorg quxx zorgen ") * 3, "en"), (50, (scorer[1][0] + " zorg quxx zorgen ") * 3, "en")])
+    kept = toxicity.stage(spark, bad, "")
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and toxicity.stage(spark, odd.limit(0), "").count() == 0
+    scores = {(r["doc_id"], r["score"] < 0.5) for r in toxicity.score_documents(bad, scorer[0]).collect()}
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, ok in scores if ok} and (50, False) in scores
+
+
 def test_windows_cover_whole_texts(scorer):
     own, texts, labels = scorer
     clean = texts[int(np.flatnonzero(labels == 0)[0])]
