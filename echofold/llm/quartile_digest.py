@@ -6,11 +6,14 @@ bits each; a head codes the length on a logarithmic scale, the ratios of the
 quartiles and a check byte. Two digests are compared by the sum of their
 buckets' and heads' differences, bounded by BOUND.
 
-A null text is empty. Texts under five bytes have no triplets: all buckets are
-zero, and the check byte and length tell them apart. The next document is the
-one with the next smaller doc_id (null ids come last; after the last comes the
-first); rows with equal ids follow each other by text. A single row is its own
-next. An empty table gives no rows.
+A null text is empty. Texts under SHORT bytes have too few triplets for
+quartiles, and most of their buckets would be zero: the bits of a hash of the
+whole text stand there instead, so that such a text is like an equal one, and
+as unlike all others as unrelated texts are. The next document is the one with
+the next smaller doc_id (null ids come last; after the last comes the first);
+rows with equal ids follow each other by text. A single row is its own next.
+Very long texts are counted whole, BLOCK bytes at a time. Other columns are
+left out. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from echofold.llm._common import parts, table, written
 BUCKETS = 128
 #: The difference from which on two digests have nothing in common.
 BOUND = 300
+#: Bytes that a text must have for its triplets to be counted.
+SHORT = 8
 #: Bytes of one text that are counted at once.
 BLOCK = 1 << 18
 _SEED = np.random.RandomState(20240)
@@ -53,8 +58,16 @@ def bucket_counts(raw: bytes) -> np.ndarray:
     return counts
 
 
+def _quarters(body: bytes) -> np.ndarray:
+    """Four codes of two bits for each byte."""
+    b = np.frombuffer(body, np.uint8)
+    return np.stack([b & 3, b >> 2 & 3, b >> 4 & 3, b >> 6], 1).ravel().astype(np.int16)
+
+
 def digest(raw: bytes) -> np.ndarray:
     """A digest as numbers: check byte, length code, two ratios, then the buckets' quartiles."""
+    if len(raw) < SHORT:
+        return np.concatenate([np.array([zlib.crc32(raw) & 255, min(255, round(8 * math.log2(len(raw) + 1))), 0, 0], np.int16), _quarters(sha256(raw).digest())])
     counts = bucket_counts(raw)
     q1, q2, q3 = np.sort(counts)[[BUCKETS // 4 - 1, BUCKETS // 2 - 1, 3 * BUCKETS // 4 - 1]]
     head = [zlib.crc32(raw) & 255, min(255, round(8 * math.log2(len(raw) + 1))), int(16 * q1 / q3) % 16 if q3 else 0, int(16 * q2 / q3) % 16 if q3 else 0]
@@ -70,9 +83,7 @@ def as_text(d: np.ndarray) -> str:
 
 
 def from_text(text: str) -> np.ndarray:
-    body = np.frombuffer(bytes.fromhex(text[6:]), np.uint8)
-    codes = np.stack([body & 3, body >> 2 & 3, body >> 4 & 3, body >> 6], 1).ravel()
-    return np.concatenate([np.array([int(text[:2], 16), int(text[2:4], 16), int(text[4], 16), int(text[5], 16)]), codes]).astype(np.int16)
+    return np.concatenate([np.array([int(text[:2], 16), int(text[2:4], 16), int(text[4], 16), int(text[5], 16)], np.int16), _quarters(bytes.fromhex(text[6:]))])
 
 
 def difference(a: np.ndarray, b: np.ndarray) -> int:

@@ -538,6 +538,14 @@ def test_digest_round_trip_and_likeness():
     assert quartile_digest.difference(d, far) <= quartile_digest.BOUND
 
 
+def test_short_texts_are_like_equal_ones_only():
+    made = [quartile_digest.digest(x) for x in (b"", b"a", b"ab", b"xyz", b"abcd", b"abcde", b"vwxyz", b"abcdefg", b"abcdefgh", b"12345678", b"a whole sentence of words")]
+    for i, a in enumerate(made):
+        assert (quartile_digest.from_text(quartile_digest.as_text(a)) == a).all()
+        assert [quartile_digest.likeness(a, b) == 1 for b in made] == [i == k for k in range(len(made))]
+        assert all(quartile_digest.likeness(a, b) < 0.5 for k, b in enumerate(made) if k != i)
+
+
 def test_comparison_with_the_next_row(spark, odd):
     got = sorted(tuple(r) for r in quartile_digest.compare_with_next(odd).where("doc_id IS NOT NULL").collect())
     order = sorted(((i, t or "") for i, t, _ in ODD), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
