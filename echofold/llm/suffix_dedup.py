@@ -1,29 +1,36 @@
 """Removal of long strings that an earlier document holds, by suffix order.
 
 Every byte is removed that is covered by a string of LENGTH bytes which also
-starts in a document with a smaller doc_id. Suffixes are sorted where they can
-matter only:
+starts in a document with a smaller doc_id. All of it is decided by longest
+previous factors over the bytes themselves; hashes only choose which suffixes
+meet:
 
 1. Each window of LENGTH bytes has an anchor: the first of its GRAM-byte grams
    with the smallest hash. Equal windows have equal anchors at the same place
    inside, so documents share a window only if they share an anchor's gram.
    Windows next to each other with one anchor form a stretch.
-2. Stretches meet in buckets by gram. A stretch that is found whole in an
-   earlier document is removed whole. Where a gram occurs in several different
-   stretches, the first of each may still share single windows with another:
-   their texts are asked for.
-3. In a bucket, all windows of these texts are put in suffix order, with the
-   lengths of common prefixes. The previous and the next place in that order
-   with a smaller document give each window's longest previous factor; windows
-   whose factor is LENGTH or longer are removed, the first copy stays.
-
-Stretches that a task sees several times leave it once, so common passages
-don't gather; grams with very many different stretches are dealt out window by
-window instead. Texts move once.
+2. A task puts stretches with equal hashes in suffix order: of each group the
+   previous and the next place with a smaller document give the longest
+   previous factor, and a stretch that it covers whole is removed whole. What
+   is not removed is dealt to buckets by gram.
+3. In a bucket, each stretch that seems to stand in an earlier document as well
+   is paired with the nearest such document, as a chain, so that a passage with
+   very many copies gathers nowhere. Pairs that follow each other in both
+   documents become one passage, whose text moves to the earlier document and
+   is put in suffix order with it, stretch by stretch.
+4. Where a gram occurs in several different stretches, the first of each may
+   still share single windows with another: their texts meet in the bucket, and
+   all their windows are put in suffix order.
+
+Grams with very many different stretches are dealt out window by window
+instead. Two strings that share a gram and a 48-bit hash but differ raise an
+error: nothing is removed, or kept, by hash alone.
 
 A null text is empty. Null ids come after all others and are not smaller than
 each other. Rows that share a doc_id are one document: what is found in one is
-removed from each, as far as it reaches. An empty table gives no rows.
+removed from each, as far as it reaches. Very long texts are worked on whole,
+BLOCK windows at a time. Other columns are left out. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -33,7 +40,6 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +48,8 @@ from echofold.llm._common import table
 from echofold.llm._packed import from_planes, mix, pack, planes, runs, unpack
 
 LENGTH, GRAM = 50, 24
+#: Bytes of a stretch at most: its windows share an anchor.
+WIDTH = 2 * LENGTH - GRAM
 #: Windows of a text that are worked on at once, and stretches that are dealt out at once.
 BLOCK, FLUSH = 1 << 18, 600_000
 #: From so many different stretches with one gram on, they are dealt out window by window.
@@ -104,8 +112,11 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 EXCHANGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 EXCHANGED_SQL = "bucket int, kind int, payload binary"
-#: Kinds of rows: stretches of a bucket's grams; spans (doc, start, end) to remove; texts asked for; texts.
-STRETCHES, SPANS, ASKED, TEXTS = range(4)
+#: Kinds of rows: stretches of a bucket's grams; spans (doc, start, end) to remove; texts asked for; texts; stretches
+#: and where an earlier document seems to hold them; texts of such passages.
+STRETCHES, SPANS, ASKED, TEXTS, PAIRED, COPIES = range(6)
+#: Bytes of passages that are put in order at once.
+PASSAGES = 1 << 22
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -130,97 +141,183 @@ def _deal(kind: int, doc: np.ndarray, columns: list[np.ndarray], to: np.ndarray)
     return [(int(to[order[a]]), kind, pack(*[c[order[a:b]] for c in (doc, *columns)])) for a, b in zip(ends[:-1], ends[1:])]
 
 
+def suffix_order(windows: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of bytes in lexicographic order, and each one's common prefix with the one before.
+
+    Rows shorter than the others are filled with zeros; sizes has their lengths.
+    """
+    n, width = windows.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = windows
+    keys = wide.view(">u8").astype(np.uint64)
+    order = np.lexsort([*([] if sizes is None else [sizes]), *keys.T[::-1]])
+    there = windows[order]
+    same = there[1:] == there[:-1]
+    common = np.where(same.all(1), width, same.argmin(1)) if n > 1 else np.zeros(0, np.int64)
+    if sizes is not None and n > 1:
+        common = np.minimum(common, np.minimum(sizes[order][1:], sizes[order][:-1]))
+    return order, np.concatenate([[0], common]).astype(np.int64)[:n]
+
+
+def _slices(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of windows in stretches of the suffix order, cut where the first eight bytes change.
+
+    Windows of two slices share no long prefix, so each slice is sorted alone
+    and memory is bounded by SLICE, or by the windows with one beginning.
+    """
+    key = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        key = key << np.uint64(8) | data[at + k]
+    order = np.argsort(key)
+    ends = runs(key[order])
+    begin = 0
+    for a, b in zip(ends[:-1], ends[1:]):
+        if b - begin > SLICE and a > begin:
+            yield order[begin:a]
+            begin = a
+    if begin < len(order):
+        yield order[begin:]
+
+
+def longest_previous(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor at each place of a suffix order.
+
+    rank orders the sources; common is the prefix shared with the place
+    before. The nearest place on either side with a smaller rank shares most.
+    """
+
+    def nearest(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
+        n = len(rank)
+        to, shared = np.arange(n) - 1, common.copy()
+        # A place with no smaller rank hands on where it looks itself, so ways double in length.
+        while True:
+            go = np.flatnonzero((to >= 0) & (shared > 0))
+            go = go[rank[to[go]] >= rank[go]]
+            if not len(go):
+                break
+            via = to[go]
+            shared[go], to[go] = np.minimum(shared[go], shared[via]), to[via]
+        shared[to < 0] = 0
+        return shared
+
+    after = np.concatenate([common[1:], [0]])[::-1] if len(common) else common
+    return np.maximum(nearest(rank, common), nearest(rank[::-1], after)[::-1])
+
+
+def covered(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Whether the longest previous factor of each string data[at : at + sizes] covers it whole; who ranks the sources."""
+    found = np.zeros(len(at), bool)
+    inner = np.arange(WIDTH)
+    for part in _slices(data, at):
+        place = at[part][:, None] + inner
+        rows = np.where(inner < sizes[part][:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
+        order, common = suffix_order(rows, sizes[part])
+        found[part[order]] = longest_previous(who[part[order]], common) >= sizes[part][order]
+    return found
+
+
+def window_factors(doc: np.ndarray, first: np.ndarray, more: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place in it, place in data, whether an earlier document holds it) of every window of stretches."""
+    n = more.astype(np.int64) + 1
+    begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(begin, n) + inner
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    who, where = np.repeat(doc, n), np.repeat(first.astype(np.int64), n) + inner
+    found = np.zeros(len(at), bool)
+    for part in _slices(data, at):
+        order, common = suffix_order(windows[at[part]])
+        found[part[order]] = longest_previous(who[part[order]], common) >= LENGTH
+    return who, where, at, found
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, homes: int) -> list[tuple[int, int, bytes]]:
+    """Rows of spans to remove; those that touch are one."""
+    if not len(doc):
+        return []
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1]))
+    heads = np.flatnonzero(new)
+    ends = np.maximum.reduceat(stop, heads)
+    return _deal(SPANS, doc[heads], [start[heads].astype("<u4"), ends.astype("<u4")], _home(doc[heads], homes))
+
+
 def _find(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
-    """The stretches of all texts, dealt by gram; spans known within a task."""
+    """The stretches of all texts, dealt by gram; what a task's own texts show to be removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, int] = {}
         held: list[tuple[np.ndarray, ...]] = []
-        spans: list[tuple[int, int, int]] = []
-        size = 0
+        data: list[np.ndarray] = []
+        size = length = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, spans, size
-            rows = []
-            if spans:
-                s = np.array(spans, np.int64)
-                rows += _deal(SPANS, s[:, 0].copy(), [s[:, 1].astype("<u4"), s[:, 2].astype("<u4")], _home(s[:, 0].copy(), homes))
-            if held:
-                doc, first, more, gram, text = (np.concatenate(c) for c in zip(*held))
-                # Of equal stretches the task keeps the one of the smallest document; later documents' are removed.
-                order = np.lexsort((doc, text, gram))
-                g, t = gram[order], text[order]
-                new = np.append(True, (g[1:] != g[:-1]) | (t[1:] != t[:-1]))
-                top = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-                later = order[doc[order] > top]
-                if len(later):
-                    rows += _deal(SPANS, doc[later], [first[later].astype("<u4"), (first[later] + more[later] + LENGTH).astype("<u4")], _home(doc[later], homes))
-                stay = np.ones(len(doc), bool)
-                stay[later] = False
-                k = np.flatnonzero(stay)
-                bucket = ((gram[k] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
-                order = np.lexsort((doc[k], bucket))
-                k, bucket = k[order], bucket[order]
-                ends = runs(bucket)
-                for a, b in zip(ends[:-1], ends[1:]):
-                    own = k[a:b]
-                    step = np.diff(doc[own], prepend=0).view(np.uint64)  # ids in order: small steps, however many buckets there are
-                    rows.append((int(bucket[a]), STRETCHES, pack(planes(step, 8), planes(gram[own] & np.uint64((1 << 48) - 1), 5), planes(text[own], 6), planes(first[own], 4), more[own].astype(np.uint8))))
-            held, spans, size = [], [], 0
+            nonlocal held, data, size, length
+            doc, first, more, gram, text, at = (np.concatenate(c) for c in zip(*held))
+            # Of equal stretches the task keeps the one of the smallest document; later documents' are removed.
+            order = np.lexsort((doc, text, gram))
+            g, t, d = gram[order], text[order], doc[order]
+            new = np.append(True, (g[1:] != g[:-1]) | (t[1:] != t[:-1]))
+            heads, of = np.flatnonzero(new), np.cumsum(new) - 1
+            later = d > d[heads][of]
+            own = np.flatnonzero(later | (new & np.logical_or.reduceat(later, heads)[of]))
+            k = order[own]
+            sizes = more[k] + LENGTH
+            gone = k[covered(np.concatenate(data), at[k], sizes, doc[k]) & later[own]]
+            rows = _spans(doc[gone], first[gone], first[gone] + more[gone] + LENGTH, homes)
+            stay = np.ones(len(doc), bool)
+            stay[gone] = False
+            k = np.flatnonzero(stay)
+            bucket = ((gram[k] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+            order = np.lexsort((doc[k], bucket))
+            k, bucket = k[order], bucket[order]
+            ends = runs(bucket)
+            for a, b in zip(ends[:-1], ends[1:]):
+                own = k[a:b]
+                step = np.diff(doc[own], prepend=0).view(np.uint64)  # ids in order: small steps, however many buckets there are
+                rows.append((int(bucket[a]), STRETCHES, pack(planes(step, 8), planes(gram[own] & np.uint64((1 << 48) - 1), 5), planes(text[own], 6), planes(first[own], 4), more[own].astype(np.uint8))))
+            held, data, size, length = [], [], 0, 0
             return _rows(rows)
 
-        def work(group: list[tuple[int, np.ndarray]]) -> None:
-            nonlocal size
-            data = np.concatenate([x for _, x in group])
-            ends = np.cumsum([len(x) for _, x in group])
-            first, more, gram, text = stretches(data, ends)
+        def work(group: list[tuple[int, int, np.ndarray]]) -> None:
+            """group: (document, where in it, bytes)."""
+            nonlocal size, length
+            joined = np.concatenate([x for *_, x in group])
+            ends = np.cumsum([len(x) for *_, x in group])
+            first, more, gram, text = stretches(joined, ends)
             if len(first):
                 which = np.searchsorted(ends, first, "right")
-                doc = np.array([d for d, _ in group], np.int64)[which]
-                held.append((doc, first - (ends - [len(x) for _, x in group])[which], more, gram, text))
-                size += len(first)
+                shift = np.array([a for _, a, _ in group], np.int64) - (ends - [len(x) for *_, x in group])
+                held.append((np.array([d for d, *_ in group], np.int64)[which], first + shift[which], more, gram, text, first + length))
+                data.append(joined)
+                size, length = size + len(first), length + len(joined)
 
         for batch in batches:
-            group, length = [], 0
+            group, many = [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if len(raw) < LENGTH:
-                    continue
+                raw = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
                 doc = LAST_ID if doc_id is None else doc_id
-                digest = xxhash.xxh3_128_intdigest(raw) & ((1 << 64) - 1)
-                before = least.get(digest)
-                if before is not None and before <= doc:  # a copy within the task
-                    if before < doc:
-                        spans.append((doc, 0, len(raw)))
-                    continue
-                least[digest] = doc
-                data = np.frombuffer(raw, np.uint8)
-                if len(data) > BLOCK:  # a long text in pieces, each with all bytes of its windows
-                    for a in range(0, len(data) - LENGTH + 1, BLOCK):
-                        n = len(held)
-                        work([(doc, data[a : a + BLOCK + LENGTH - 1])])
-                        if len(held) > n:
-                            held[-1] = (held[-1][0], held[-1][1] + a, *held[-1][2:])
-                    continue
-                group.append((doc, data))
-                length += len(data)
-                if length >= BLOCK:
-                    work(group)
-                    group, length = [], 0
-                if size >= FLUSH:
-                    yield flush()
+                # A long text in pieces, each with all bytes of its windows.
+                for a in range(0, len(raw) - LENGTH + 1, BLOCK):
+                    group.append((doc, a, raw[a : a + BLOCK + LENGTH - 1]))
+                    many += len(group[-1][2])
+                    if many >= BLOCK:
+                        work(group)
+                        group, many = [], 0
+                    if size >= FLUSH:
+                        yield flush()
             if group:
                 work(group)
             if size >= FLUSH:
                 yield flush()
-        if held or spans:
+        if held:
             yield flush()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, EXCHANGED_SQL)
 
 
 def _match(homes: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """A bucket's stretches against each other: spans to remove, and texts to ask for."""
+    """A bucket's stretches against each other: which to hold against which, and texts to ask for."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
@@ -232,29 +329,33 @@ def _match(homes: int) -> Callable[[tuple, pa.Table], pa.Table]:
             gram = np.concatenate([from_planes(x[1], 5) for x in own])
             text = np.concatenate([from_planes(x[2], 6) for x in own])
             first = np.concatenate([from_planes(x[3], 4).astype(np.uint32) for x in own])
-            more = np.concatenate([x[4] for x in own]).astype(np.int64)
+            more = np.concatenate([x[4] for x in own])
             order = np.argsort(gram)
             ends = runs(gram[order])
             order = order[np.repeat(np.diff(ends) > 1, np.diff(ends))]
-            order = order[np.lexsort((doc[order], text[order], gram[order]))]
-            g, x, d = gram[order], text[order], doc[order]
-            new_gram = np.append(True, g[1:] != g[:-1])[: len(g)]
-            new_text = new_gram | np.append(True, x[1:] != x[:-1])[: len(g)]
-            top = d[np.flatnonzero(new_text)][np.cumsum(new_text) - 1] if len(g) else d
-            later = order[d > top]
-            if len(later):
-                rows += _deal(SPANS, doc[later], [first[later].astype("<u4"), (first[later] + more[later] + LENGTH).astype("<u4")], _home(doc[later], homes))
-            # Grams with several different stretches in several documents: the first of each is asked for.
-            of = np.cumsum(new_gram) - 1
-            texts = np.bincount(of, new_text) if len(g) else np.zeros(0)
-            low = np.minimum.reduceat(d, np.flatnonzero(new_gram)) if len(g) else d
-            high = np.maximum.reduceat(d, np.flatnonzero(new_gram)) if len(g) else d
-            wanted = ((texts > 1) & (high > low))[of] & (d == top) if len(g) else np.zeros(0, bool)
-            ask = order[wanted]
-            if len(ask):
-                many = (texts[of[wanted]] >= MANY).astype(np.uint8)
-                back = np.full(len(ask), key[0].as_py(), "<u4")
-                rows += _deal(ASKED, doc[ask], [first[ask].astype("<u4"), more[ask].astype(np.uint8), many, back], _home(doc[ask], homes))
+            order = order[np.lexsort((first[order], doc[order], text[order], gram[order]))]
+            if len(order):
+                g, x, d = gram[order], text[order], doc[order]
+                new_gram = np.append(True, g[1:] != g[:-1])
+                new_text = new_gram | np.append(True, x[1:] != x[:-1])
+                new_doc = new_text | np.append(True, d[1:] != d[:-1])
+                top = d[np.flatnonzero(new_text)][np.cumsum(new_text) - 1]
+                later = np.flatnonzero(d > top)
+                if len(later):
+                    # The first place in the nearest earlier document: its run of equal ids ends before the own one.
+                    heads, run_of = np.flatnonzero(new_doc), np.cumsum(new_doc) - 1
+                    k, s = order[later], order[heads[run_of[later] - 1]]
+                    rows += _deal(PAIRED, doc[k], [first[k].astype("<u4"), more[k], doc[s], first[s].astype("<u4")], _home(doc[k], homes))
+                # Grams with several different stretches in several documents: the first of each is asked for.
+                of, heads = np.cumsum(new_gram) - 1, np.flatnonzero(new_gram)
+                texts = np.bincount(of, new_text)
+                several = np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads)
+                wanted = ((texts > 1) & several)[of] & (d == top)
+                ask = order[wanted]
+                if len(ask):
+                    many = (texts[of[wanted]] >= MANY).astype(np.uint8)
+                    back = np.full(len(ask), key[0].as_py(), "<u4")
+                    rows += _deal(ASKED, doc[ask], [first[ask].astype("<u4"), more[ask], many, back], _home(doc[ask], homes))
         return _passed(t, kind, rows)
 
     return run
@@ -275,136 +376,133 @@ def _texts_by_doc(t: pa.Table) -> dict[int, list[bytes]]:
     return found
 
 
-def _answer(buckets: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    """The texts that were asked for, sent back; spans pass through."""
+def _answer(buckets: int, homes: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The texts that were asked for, sent back, and those of paired passages, sent to the earlier document; spans pass through."""
+
+    def asked_for(rows: list, asked: list[list[np.ndarray]], raw: dict[int, list[bytes]]) -> None:
+        doc, first, more, many, back = (np.concatenate(c) for c in zip(*asked))
+        order = np.lexsort((first, doc))
+        out: dict[int, list[tuple[int, int, int, bytes]]] = {}
+        hot: list[tuple[int, int, int, bytes]] = []
+        for d, a, n, common, to in zip(*(c[order].tolist() for c in (doc, first, more, many, back))):
+            for source in raw.get(d, ()):
+                piece = source[a : a + n + LENGTH]
+                if len(piece) == n + LENGTH:
+                    (hot if common else out.setdefault(to, [])).append((d, a, n, piece))
+        for to, own in out.items():
+            rows.append((to, TEXTS, pack(*_columns(own))))
+        if hot:
+            doc, first, more, data = _columns(hot)
+            who, where, at, found = window_factors(doc, first, more, data)
+            rows += _spans(who[found], where[found], where[found] + LENGTH, homes)
+            # The windows that are left are dealt by their hash, each with its own text.
+            k = np.flatnonzero(~found)
+            sums = np.append(np.uint64(0), np.cumsum(_BYTE[data] * powers(_BASE, len(data))))
+            to = (mix((sums[at[k] + LENGTH] - sums[at[k]]) * powers(_INVERSE, len(data))[at[k]]) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            ends = runs(to[order])
+            windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+            for a, b in zip(ends[:-1], ends[1:]):
+                own = k[order[a:b]]
+                rows.append((int(to[order[a]]), TEXTS, pack(who[own], where[own].astype("<u4"), np.zeros(b - a, np.uint8), windows[at[own]].ravel())))
+
+    def paired(rows: list, pairs: list[list[np.ndarray]], raw: dict[int, list[bytes]]) -> None:
+        doc, first, more, source, place = (np.concatenate(c) for c in zip(*pairs))
+        first, place = first.astype(np.int64), place.astype(np.int64)
+        order = np.lexsort((first, first - place, source, doc))
+        doc, first, more, source, place = (c[order] for c in (doc, first, more, source, place))
+        follows = (doc[1:] == doc[:-1]) & (source[1:] == source[:-1]) & (first[1:] - place[1:] == first[:-1] - place[:-1]) & (first[1:] == first[:-1] + more[:-1] + 1)
+        ends = [*np.flatnonzero(np.append(True, ~follows)).tolist(), len(doc)]
+        to = _home(source, homes)
+        out: dict[int, list[tuple[int, int, int, int, np.ndarray, bytes]]] = {}
+        for a, b in zip(ends[:-1], ends[1:]):
+            d, start, n = int(doc[a]), int(first[a]), int(first[b - 1] - first[a]) + int(more[b - 1]) + LENGTH
+            for text in raw.get(d, ()):
+                piece = text[start : start + n]
+                if len(piece) == n:
+                    out.setdefault(int(to[a]), []).append((d, start, int(source[a]), int(place[a]), more[a:b], piece))
+        for home, own in out.items():
+            d, start, s, p, steps, pieces = zip(*own)
+            numbers = [np.array(c, k) for c, k in ((d, "<i8"), (start, "<u4"), (s, "<i8"), (p, "<u4"), ([len(x) for x in steps], "<u4"))]
+            rows.append((home, COPIES, pack(*numbers, np.concatenate(steps), np.frombuffer(b"".join(pieces), np.uint8))))
 
     def run(key: tuple, docs: pa.Table, t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
         payload = t.column("payload")
         rows: list[tuple[int, int, bytes]] = []
         asked = [unpack(payload[int(i)].as_py(), "<i8", "<u4", np.uint8, np.uint8, "<u4") for i in np.flatnonzero(kind == ASKED)]
+        pairs = [unpack(payload[int(i)].as_py(), "<i8", "<u4", np.uint8, "<i8", "<u4") for i in np.flatnonzero(kind == PAIRED)]
+        raw = _texts_by_doc(docs) if asked or pairs else {}
         if asked:
-            doc, first, more, many, back = (np.concatenate(c) for c in zip(*asked))
-            order = np.lexsort((first, doc))
-            raw = _texts_by_doc(docs)
-            out: dict[int, list[tuple[int, int, int, bytes]]] = {}
-            windows: dict[bytes, tuple[int, int]] = {}
-            extra: list[tuple[int, int, int]] = []
-            for d, a, n, hot, to in zip(*(c[order].tolist() for c in (doc, first, more, many, back))):
-                for source in raw.get(d, ()):
-                    piece = source[a : a + n + LENGTH]
-                    if len(piece) < n + LENGTH:
-                        continue
-                    if not hot:
-                        out.setdefault(to, []).append((d, a, n, piece))
-                        continue
-                    for k in range(n + 1):
-                        w = piece[k : k + LENGTH]
-                        known = windows.get(w)
-                        if known is None:
-                            windows[w] = (d, a + k)  # documents come in ascending order
-                        elif known[0] < d:
-                            extra.append((d, a + k, a + k + LENGTH))
-                        else:
-                            out.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append((d, a + k, 0, w))
-            for w, (d, a) in windows.items():
-                out.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append((d, a, 0, w))
-            for to, own in out.items():
-                rows.append((to, TEXTS, pack(np.array([o[0] for o in own], "<i8"), np.array([o[1] for o in own], "<u4"), np.array([o[2] for o in own], np.uint8), np.frombuffer(b"".join(o[3] for o in own), np.uint8))))
-            if extra:
-                e = np.array(extra, np.int64)
-                rows += _deal(SPANS, e[:, 0].copy(), [e[:, 1].astype("<u4"), e[:, 2].astype("<u4")], np.full(len(e), key[0].as_py()))
+            asked_for(rows, asked, raw)
+        if pairs:
+            paired(rows, pairs, raw)
         return _passed(t, kind, rows)
 
     return run
 
 
-def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of bytes in lexicographic order, and each one's common prefix with the one before."""
-    n, width = windows.shape
-    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    wide[:, :width] = windows
-    keys = wide.view(">u8").astype(np.uint64)
-    order = np.lexsort(keys.T[::-1])
-    there = windows[order]
-    same = there[1:] == there[:-1]
-    common = np.where(same.all(1), width, same.argmin(1)) if n > 1 else np.zeros(0, np.int64)
-    return order, np.concatenate([[0], common]).astype(np.int64)[:n]
-
-
-def _slices(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of windows in stretches of the suffix order, cut where the first eight bytes change.
-
-    Windows of two slices share no long prefix, so each slice is sorted alone
-    and memory is bounded by SLICE, or by the windows with one beginning.
-    """
-    key = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | data[at + k]
-    order = np.argsort(key)
-    ends = runs(key[order])
-    begin = 0
-    for a, b in zip(ends[:-1], ends[1:]):
-        if b - begin > SLICE and a > begin:
-            yield order[begin:a]
-            begin = a
-    if begin < len(order):
-        yield order[begin:]
-
+def _columns(own: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
+    return [np.array([o[0] for o in own], "<i8"), np.array([o[1] for o in own], "<u4"), np.array([o[2] for o in own], np.uint8), np.frombuffer(b"".join(o[3] for o in own), np.uint8)]
 
-def longest_previous(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The longest previous factor at each place of a suffix order.
 
-    rank orders the sources; common is the prefix shared with the place
-    before. The nearest place on either side with a smaller rank shares most.
-    """
+def _copied(passages: list[tuple[int, int, int, int, np.ndarray, bytes]], raw: dict[int, list[bytes]], homes: int) -> list[tuple[int, int, bytes]]:
+    """Spans of passages (document, place, earlier document, place there, further windows of its stretches, text)."""
+    data: list[bytes] = []
+    items: list[tuple[np.ndarray, ...]] = []
+    base = 0
 
-    def nearest(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
-        n = len(rank)
-        to, shared = np.arange(n) - 1, common.copy()
-        # A place with no smaller rank hands on where it looks itself, so ways double in length.
-        while True:
-            go = np.flatnonzero((to >= 0) & (shared > 0))
-            go = go[rank[to[go]] >= rank[go]]
-            if not len(go):
-                break
-            via = to[go]
-            shared[go], to[go] = np.minimum(shared[go], shared[via]), to[via]
-        shared[to < 0] = 0
-        return shared
+    def add(source: int, piece: bytes, which: int, start: int, inner: np.ndarray, sizes: np.ndarray) -> None:
+        nonlocal base
+        data.append(piece)
+        items.append((base + inner, sizes, np.full(len(inner), source), np.full(len(inner), which), start + inner))
+        base += len(piece)
 
-    after = np.concatenate([common[1:], [0]])[::-1] if len(common) else common
-    return np.maximum(nearest(rank, common), nearest(rank[::-1], after)[::-1])
+    for i, (d, start, s, place, more, piece) in enumerate(passages):
+        sizes = more.astype(np.int64) + LENGTH
+        inner = np.cumsum(more.astype(np.int64) + 1) - more - 1
+        add(d, piece, i, start, inner, sizes)
+        for text in raw.get(s, ()):
+            other = text[place : place + len(piece)]
+            if len(other) == len(piece):
+                add(s, other, -1, 0, inner, sizes)
+    at, sizes, who, which, where = (np.concatenate(c) for c in zip(*items))
+    found = covered(np.frombuffer(b"".join(data), np.uint8), at, sizes, who)
+    own = np.flatnonzero(which >= 0)
+    good = own[found[own]]
+    names = np.array([p[0] for p in passages])
+    if len(good) < len(own) and len(set(zip(names[which[own]].tolist(), where[own].tolist()))) > len(set(zip(names[which[good]].tolist(), where[good].tolist()))):
+        raise RuntimeError("two different strings share a gram and a hash; take other numbers for _BYTE")
+    return _spans(who[good], where[good], where[good] + sizes[good], homes)
 
 
-def _sort(homes: int) -> Callable[[tuple, pa.Table], pa.Table]:
-    """Windows of a bucket's texts in suffix order: those with a long previous factor are spans."""
+def _sort(homes: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """A bucket's texts and passages in suffix order: those with a long previous factor are spans."""
 
-    def run(key: tuple, t: pa.Table) -> pa.Table:
+    def run(key: tuple, docs: pa.Table, t: pa.Table) -> pa.Table:
         kind = t.column("kind").to_numpy()
         payload = t.column("payload")
         rows: list[tuple[int, int, bytes]] = []
         own = [unpack(payload[int(i)].as_py(), "<i8", "<u4", np.uint8, np.uint8) for i in np.flatnonzero(kind == TEXTS)]
         if own:
-            doc, first, more, data = (np.concatenate(c) for c in zip(*own))
-            n = more.astype(np.int64) + 1
-            begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(begin, n) + inner
-            windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-            who, where = np.repeat(doc, n), np.repeat(first.astype(np.int64), n) + inner
-            found = np.zeros(len(at), bool)
-            for part in _slices(data, at):
-                order, common = suffix_order(windows[at[part]])
-                found[part[order]] = longest_previous(who[part[order]], common) >= LENGTH
-            k = np.flatnonzero(found)
-            if len(k):
-                # Windows next to each other make one span.
-                k = k[np.lexsort((where[k], who[k]))]
-                joined = np.append(False, (who[k][1:] == who[k][:-1]) & (where[k][1:] <= where[k][:-1] + LENGTH))
-                start, stop = np.flatnonzero(~joined), np.append(np.flatnonzero(~joined)[1:], len(k)) - 1
-                d = who[k[start]]
-                rows += _deal(SPANS, d, [where[k[start]].astype("<u4"), (where[k[stop]] + LENGTH).astype("<u4")], _home(d, homes))
+            who, where, _, found = window_factors(*(np.concatenate(c) for c in zip(*own)))
+            rows += _spans(who[found], where[found], where[found] + LENGTH, homes)
+        copies = np.flatnonzero(kind == COPIES)
+        raw = _texts_by_doc(docs) if len(copies) else {}
+        held, size = [], 0
+        for i in copies:
+            d, start, s, place, n, more, text = unpack(payload[int(i)].as_py(), "<i8", "<u4", "<i8", "<u4", "<u4", np.uint8, np.uint8)
+            a = b = 0
+            for k in range(len(d)):
+                steps = more[a : a + n[k]]
+                many = int(steps.sum(dtype=np.int64)) + int(n[k]) - 1 + LENGTH
+                held.append((int(d[k]), int(start[k]), int(s[k]), int(place[k]), steps, text[b : b + many].tobytes()))
+                a, b, size = a + int(n[k]), b + many, size + many
+                if size >= PASSAGES:
+                    rows += _copied(held, raw, homes)
+                    held, size = [], 0
+        if held:
+            rows += _copied(held, raw, homes)
         return _passed(t, kind, rows)
 
     return run
@@ -466,8 +564,8 @@ def _removed(docs: DataFrame, finish, schema: pa.Schema, sql: str, columns: list
     buckets = homes = _common.buckets(docs.sparkSession, 1)
     by_bucket = docs_by_bucket(docs, homes, columns)
     matched = _find(docs, buckets, homes).groupBy("bucket").applyInArrow(_match(homes), EXCHANGED_SQL)
-    told = by_bucket.groupBy("bucket").cogroup(matched.groupBy("bucket")).applyInArrow(_answer(buckets), EXCHANGED_SQL)
-    spans = told.groupBy("bucket").applyInArrow(_sort(homes), EXCHANGED_SQL)
+    told = by_bucket.groupBy("bucket").cogroup(matched.groupBy("bucket")).applyInArrow(_answer(buckets, homes), EXCHANGED_SQL)
+    spans = by_bucket.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_sort(homes), EXCHANGED_SQL)
     return by_bucket.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(_apply(schema, finish, ["doc_id", *columns]), sql)
 
 

@@ -171,7 +171,7 @@ def brute_removals(rows):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"MANY": 2, "BLOCK": 200, "FLUSH": 500, "SLICE": 50}])
+@pytest.mark.parametrize("limits", [{}, {"MANY": 2, "BLOCK": 200, "FLUSH": 500, "PASSAGES": 100}, {"FLUSH": 1}])
 def test_removals_equal_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(suffix_dedup, k, v)
@@ -186,6 +186,25 @@ def test_removals_equal_brute_force(spark, monkeypatch, limits):
     assert got == brute_removals([(i, t.encode()) for i, t, _ in rows])
 
 
+def test_covered_strings_equal_brute_force():
+    r = random.Random(12)
+    raw = bytes(r.choice(b"a\0") for _ in range(70)) * 4 + bytes(r.choice(b"a\0b") for _ in range(600))
+    at = np.array([r.randrange(len(raw) - suffix_dedup.WIDTH) for _ in range(300)] + list(range(200)))
+    sizes = np.array([r.randint(suffix_dedup.LENGTH, suffix_dedup.WIDTH) for _ in at])
+    who = np.array([r.randrange(9) for _ in at])
+    words = [raw[a : a + n] for a, n in zip(at, sizes)]
+    want = [any(who[j] < who[i] and words[j].startswith(words[i]) for j in range(len(at))) for i in range(len(at))]
+    assert suffix_dedup.covered(np.frombuffer(raw, np.uint8), at, sizes, who).tolist() == want and 0 < sum(want) < len(at)
+
+
+def test_equal_hashes_of_different_strings_remove_nothing():
+    texts = [b"a" * 30 + b"x" + b"a" * 30, b"a" * 30 + b"y" + b"a" * 30]
+    with pytest.raises(RuntimeError):
+        suffix_dedup._copied([(2, 0, 1, 0, np.array([11], np.uint8), texts[1])], {1: [texts[0]]}, 4)
+    rows = suffix_dedup._copied([(2, 0, 1, 0, np.array([11], np.uint8), texts[0])], {1: texts}, 4)
+    assert [tuple(x.tolist() for x in suffix_dedup.unpack(r[2], "<i8", "<u4", "<u4")) for r in rows] == [([2], [0], [61])]
+
+
 def test_removals_of_odd_rows(spark, odd):
     got = sorted((r["doc_id"] if r["doc_id"] is not None else 99, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.removals(odd).collect())
     n = len(LONG.encode())
