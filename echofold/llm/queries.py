@@ -18,6 +18,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_vantage_search": vantage_search.ORACLE,
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op5_warc": warc.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
+    "op10_shingle_join": shingle_join.ORACLE,
 }

@@ -16,13 +16,18 @@ from the start. Then:
 3. Each group's sets stand in a compressed prefix tree, most frequent hash
    first, and are looked up in it. A walk counts hashes shared with all sets
    below a node at once, leaves out subtrees whose sizes and remaining hashes
-   can't reach the threshold, and those that are linked already. A group too
-   large for one task is cut into blocks, and each pair of blocks is a task.
+   can't reach the threshold, and those that are linked already. A group with
+   more sets or hashes than a task should have is cut into blocks, and each
+   pair of blocks is a tile of its own. Where that would copy its sets too
+   often, the sets are dealt out by each of their first hashes instead.
 4. Links make components; a document gets the smallest id of its component.
 
-Hashes have 64 bits (48 and the bucket's in the exchange). Null texts have no
-words. Rows without words link with nothing. A null id never is a component's
-id unless all its ids are null. Repeated rows are linked rows like any other.
+Shingle hashes have 64 bits (48 and the bucket's in the exchange), a set's
+digest 128: sets with equal digests are equal. Null texts have no words. Rows
+without words link with nothing. A null id never is a component's id unless
+all its ids are null. Repeated rows are linked rows like any other. Very long
+texts are cut into words whole. Other columns are left out. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -45,8 +50,10 @@ SHINGLE, PERCENT = 5, 80
 BLOCK, FLUSH = 1 << 20, 800_000
 #: In how many sets of one flush a hash counts as frequent; all such have the last place in the order.
 FREQUENT, LAST = 64, 255
-#: Sets of a group that are joined in one task.
-GROUP_SETS = 6000
+#: Sets and hashes of a block: more of either in a group make several tiles.
+GROUP_SETS, GROUP_HASHES = 512, 1 << 18
+#: Blocks of a group beyond which its sets are dealt by their first hashes.
+BLOCKS = 32
 
 _rng = np.random.RandomState(31)
 _BYTE = _rng.randint(0, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,11 +119,17 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-# Rows of the exchange. kind 0: a document (doc_id, n, digest). A task numbers its sets within lots; kind 1: a lot's
+def set_digest(hashes: np.ndarray) -> bytes:
+    """16 bytes from two sums over a set's hashes, each spread in its own way, and its size."""
+    one, two = (mix(x).sum(dtype=np.uint64) for x in (hashes, hashes * _PLACE[0]))
+    return mix(np.array([one, two ^ one], np.uint64) ^ np.uint64(len(hashes))).tobytes()
+
+
+# Rows of the exchange. kind 0: a document (doc_id, n, digest of 16 bytes). A task numbers its sets within lots; kind 1: a lot's
 # hashes of a bucket; kind 2: frequent hashes of a bucket; kind 3: hashes that several sets hold, sent to the lot's
 # home; kind 4: digests and sizes of a lot's sets, sent there too.
-DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("payload", pa.binary())])
-DEALT_SQL = "bucket int, kind int, doc_id long, n long, digest long, payload binary"
+DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("payload", pa.binary())])
+DEALT_SQL = "bucket int, kind int, doc_id long, n long, digest binary, payload binary"
 
 
 def _row(bucket: int, kind: int, payload: bytes) -> tuple:
@@ -152,9 +165,9 @@ def _deal(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
     """Documents and their sets' hashes, dealt to buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         sets: list[np.ndarray] = []
-        names: list[int] = []
+        names: list[bytes] = []
         held = lots = 0
 
         def flush() -> pa.RecordBatch:
@@ -167,7 +180,7 @@ def _deal(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
             place = lot << np.uint64(LOT_BITS) | owner.astype(np.uint64)
             bucket = (((all_hashes >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.uint16)
             low = all_hashes & np.uint64((1 << 48) - 1)
-            rows = [_row(int(_homes(np.array([lot]), homes)[0]), 4, pack(np.array([lot]), np.array(names, np.uint64), sizes.astype("<u4")))]
+            rows = [_row(int(_homes(np.array([lot]), homes)[0]), 4, pack(np.array([lot]), np.frombuffer(b"".join(names), np.uint8), sizes.astype("<u4")))]
             order = np.argsort(all_hashes)
             ends = runs(all_hashes[order])
             many = np.diff(ends) >= FREQUENT
@@ -196,10 +209,9 @@ def _deal(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
                 part = batch.slice(a, 1024)
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 made = shingle_sets(texts)
-                digest = [int(mix(mix(s).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(s)))[0]) for s in made]
-                signed = np.array(digest, np.uint64).view(np.int64)
+                digest = [set_digest(x) for x in made]
                 empty = pa.nulls(len(made), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array((a + np.arange(len(made))) % buckets, pa.int32()), pa.array(np.zeros(len(made), np.int32)), part.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array(signed), empty], schema=DEALT)
+                yield pa.RecordBatch.from_arrays([pa.array((a + np.arange(len(made))) % buckets, pa.int32()), pa.array(np.zeros(len(made), np.int32)), part.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array(digest, pa.binary()), empty], schema=DEALT)
                 for s, d in zip(made, digest):
                     if len(s) and d not in seen:
                         seen.add(d)
@@ -241,7 +253,7 @@ def _count(homes: int):
     return run
 
 
-SETS_SQL = "digest long, n long, hashes binary"
+SETS_SQL = "digest binary, n long, hashes binary"
 
 
 def _assemble(key: tuple, t: pa.Table) -> pa.Table:
@@ -250,7 +262,7 @@ def _assemble(key: tuple, t: pa.Table) -> pa.Table:
     payloads = t.column("payload")
     out = []
     own = [unpack(payloads[int(i)].as_py(), *[np.uint8] * 3) for i in np.flatnonzero(kind == 3)]
-    names = {int(x[0][0]): (x[1], x[2]) for x in (unpack(payloads[int(i)].as_py(), "<u8", "<u8", "<u4") for i in np.flatnonzero(kind == 4))}
+    names = {int(x[0][0]): (x[1], x[2]) for x in (unpack(payloads[int(i)].as_py(), "<u8", "V16", "<u4") for i in np.flatnonzero(kind == 4))}
     if own:
         places = np.concatenate([np.cumsum(from_planes(x[0], 8), dtype=np.uint64) for x in own])
         hashes, classes = np.concatenate([from_planes(x[1], 8) for x in own]), np.concatenate([x[2] for x in own])
@@ -262,23 +274,35 @@ def _assemble(key: tuple, t: pa.Table) -> pa.Table:
             i = place & (1 << LOT_BITS) - 1
             n = int(sizes[i])
             if 100 * (b - a) >= PERCENT * n:
-                out.append((int(digests[i : i + 1].view(np.int64)[0]), n, hashes[order[a:b]].tobytes()))
+                out.append((digests[i].tobytes(), n, hashes[order[a:b]].tobytes()))
     cols = list(zip(*out)) or [[], [], []]
-    return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["digest", "n", "hashes"])
+    return pa.Table.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["digest", "n", "hashes"])
+
+
+def _first_hashes(n: int, raw: pa.Scalar) -> np.ndarray:
+    """The hashes of which a linked set must share one."""
+    h = np.frombuffer(raw.as_py(), np.int64)
+    # Hashes that occur nowhere else stand before all others in the order.
+    return h[: max(0, n - (PERCENT * n + 99) // 100 + 1 - (n - len(h)))]
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, set) for the hashes that a linked set must share one of."""
+    """(hash, set) for the first hashes of each set."""
     for batch in batches:
-        digests, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        heads, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d, n, raw in zip(digests, sizes, batch.column(2)):
-            h = np.frombuffer(raw.as_py(), np.int64)
-            # Hashes that occur nowhere else stand before all others in the order.
-            first = n - (PERCENT * n + 99) // 100 + 1 - (n - len(h))
-            heads.append(h[: max(0, first)])
-            names.append(np.full(len(heads[-1]), d))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(names))], names=["hash", "digest"])
+        heads = [_first_hashes(n, raw) for n, raw in zip(batch.column(1).to_numpy(), batch.column(2))]
+        of = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *heads])), batch.column(0).take(pa.array(of))], names=["hash", "digest"])
+
+
+def _by_first_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set once for each of its first hashes, a few sets at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 64):
+            part = batch.slice(a, 64)
+            heads = [_first_hashes(n, raw) for n, raw in zip(part.column(1).to_numpy(), part.column(2))]
+            of = pa.array(np.repeat(np.arange(len(heads)), [len(h) for h in heads]))
+            labels = np.concatenate([np.zeros(0, np.int64), *heads]).astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in labels], pa.binary()), *(c.take(of) for c in part.columns)], names=["label", "digest", "n", "hashes"])
 
 
 class Forest:
@@ -420,19 +444,48 @@ def join_group(hashes: list[np.ndarray], sizes: list[int]) -> list[int]:
 
 
 def _join_tile(key: tuple, t: pa.Table) -> pa.Table:
-    """Stars (set, smallest linked set) of the groups of one task."""
-    out: list[tuple[int, int]] = []
-    label, digest, size = (t.column(c).to_numpy() for c in ("label", "digest", "n"))
+    """Stars (set, smallest linked set) of the groups of one tile."""
+    out: list[tuple[bytes, bytes]] = []
+    t = t.sort_by([("label", "ascending"), ("digest", "ascending")])
+    label, digest, size = t.column("label").to_pylist(), t.column("digest").to_pylist(), t.column("n").to_pylist()
     hashes = t.column("hashes")
-    order = np.lexsort((digest, label))
-    ends = runs(label[order])
-    for a, b in zip(ends[:-1], ends[1:]):
-        k = order[a:b]
-        if len(k) > 1:
-            found = join_group([np.frombuffer(hashes[int(i)].as_py(), np.uint64) for i in k], size[k].tolist())
-            out += [(int(digest[i]), int(digest[k[r]])) for i, r in zip(k, found) if digest[i] != digest[k[r]]]
+    a = 0
+    for b in range(1, len(label) + 1):
+        if b < len(label) and label[b] == label[a]:
+            continue
+        if b - a > 1:
+            found = join_group([np.frombuffer(hashes[i].as_py(), np.uint64) for i in range(a, b)], size[a:b])
+            out += [(digest[a + i], digest[a + r]) for i, r in enumerate(found) if i != r]
+        a = b
     cols = list(zip(*out)) or [[], []]
-    return pa.Table.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
+    return pa.Table.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], names=["a", "b"])
+
+
+def _tiles(grouped: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(tile, label, digest, n, hashes) of groups of up to BLOCKS blocks, and the rows of larger groups.
+
+    Small groups share tiles; of one with several blocks each pair of blocks is a tile.
+    """
+    work = F.sum(F.octet_length("hashes")) / 8
+    held = grouped.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_SETS), F.ceil(work / GROUP_HASHES), F.lit(1)).cast("int").alias("blocks"))
+    rows = grouped.join(held, "label").withColumn("block", F.pmod(F.xxhash64("digest", F.lit("block")), F.col("blocks")).cast("int"))
+    partner = F.explode(F.expr("sequence(0, blocks - 1)"))
+    several = rows.where(F.col("blocks") <= BLOCKS).withColumn("partner", partner).where("blocks = 1 OR partner != block")
+    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(-1 - F.abs(F.xxhash64("label", F.least("block", "partner"), F.greatest("block", "partner")) % (1 << 40)))
+    names = ["label", "digest", "n", "hashes"]
+    return several.select(tile.alias("tile"), *names), rows.where(F.col("blocks") > BLOCKS).select(*names, "blocks", "block")
+
+
+def _join_groups(grouped: DataFrame, buckets: int) -> DataFrame:
+    """The links (a, b) of all groups, as stars."""
+    tiles, large = _tiles(grouped, buckets)
+    # Of a very large group only sets that share a first hash meet.
+    by_hash, rest = _tiles(large.select("digest", "n", "hashes").mapInArrow(_by_first_hash, "label binary, " + SETS_SQL), buckets)
+    # A hash that very many sets have among their first: all pairs of its blocks, whatever their number.
+    pair = F.explode(F.expr("sequence(0, blocks - 1)"))
+    rest = rest.withColumn("partner", pair).where("partner != block")
+    rest = rest.select((-1 - F.abs(F.xxhash64("label", F.least("block", "partner"), F.greatest("block", "partner")) % (1 << 40))).alias("tile"), "label", "digest", "n", "hashes")
+    return tiles.unionByName(by_hash).unionByName(rest).groupBy("tile").applyInArrow(_join_tile, "a binary, b binary")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -444,19 +497,11 @@ def components(docs: DataFrame) -> DataFrame:
     counted = written(dealt, "shingles")
     rows = counted.where("kind = 0").select("doc_id", "n", "digest")
     sets = written(counted.where("kind >= 3").groupBy("bucket").applyInArrow(_assemble, SETS_SQL).dropDuplicates(["digest"]), "sets")
-    heads = sets.mapInArrow(_prefixes, "hash long, digest long")
+    heads = sets.mapInArrow(_prefixes, "hash long, digest binary")
     least = heads.groupBy("hash").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least < most")
     coarse = connected_components(heads.join(least, "hash").select(F.col("digest").alias("a"), F.col("least").alias("b")))
     grouped = written(sets.join(coarse.select(F.col("node").alias("digest"), F.col("component").alias("label")), "digest"), "groups")
-    held = grouped.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-    # A small group is one task's, with others; of a large one every pair of blocks is a task of its own.
-    blocks = F.ceil(F.col("members") / GROUP_SETS).cast("int")
-    block = F.pmod(F.xxhash64("digest", F.lit("block")), F.col("blocks")).cast("int")
-    partner = F.explode(F.expr("sequence(0, blocks - 1)"))
-    tiles = grouped.join(held, "label").withColumn("blocks", blocks).withColumn("block", block).withColumn("partner", partner).where("blocks = 1 OR partner != block")
-    tile = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(-1 - F.abs(F.xxhash64("label", F.least("block", "partner"), F.greatest("block", "partner")) % (1 << 40)))
-    stars = tiles.withColumn("tile", tile).select("tile", "label", "digest", "n", "hashes").groupBy("tile").applyInArrow(_join_tile, "a long, b long")
-    linked = connected_components(stars)
+    linked = connected_components(_join_groups(grouped, buckets))
     first = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
     joined = first.join(linked.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     smallest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -474,3 +519,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = components(docs).where("doc_id = component_id").select("doc_id").distinct()
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     return docs.select(*names).join(keep, "doc_id", "left_semi").unionByName(docs.select(*names).where("doc_id IS NULL"))
+
+
+#: Sets as lists of words, all pairs that share one, and the smallest id that is reached by links.
+ORACLE = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+o AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS k, len(w) AS m FROM w),
+l AS (SELECT doc_id, k, m, t, lead(t) OVER q AS t2, lead(t, 2) OVER q AS t3, lead(t, 3) OVER q AS t4, lead(t, 4) OVER q AS t5 FROM o WINDOW q AS (PARTITION BY doc_id ORDER BY k)),
+g AS (SELECT DISTINCT doc_id, concat_ws(' ', t, t2, t3, t4, t5) AS g FROM l WHERE k = 1 OR k <= m - {SHINGLE - 1}),
+s AS (SELECT w.doc_id, count(g.g) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY w.doc_id),
+x AS (SELECT g.doc_id, n, g.g FROM g JOIN s USING (doc_id)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.other)
+SELECT s.doc_id, s.n AS n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""

@@ -594,3 +594,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     typed = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     return _removed(typed, finish, schema, "doc_id long, text string, lang string, source string, n_chars long", ["lang", "source"])
+
+
+#: All strings of LENGTH bytes with the smallest document of each, as hex digits.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id, n, k, substr(h, 2 * k + 1, {2 * (500 + LENGTH - 1)}) AS h FROM (SELECT *, unnest(range(0, n, 500)) AS k FROM d)),
+w AS (SELECT doc_id, k, h, unnest(range(0, least(500, n - k - {LENGTH - 1}))) AS i FROM c),
+g AS (SELECT doc_id, k + i AS i, substr(h, 2 * i + 1, {2 * LENGTH}) AS s FROM w),
+f AS (SELECT s, min(doc_id) AS first FROM g GROUP BY s),
+m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM g JOIN f USING (s) WHERE first < doc_id),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m) GROUP BY doc_id, k),
+k AS (SELECT r.doc_id, substr(h, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS piece, a, b FROM r JOIN d USING (doc_id) WINDOW o AS (PARTITION BY r.doc_id ORDER BY a)),
+j AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS kept, max(b) AS last, sum(b - a) AS removed, count(*) AS spans FROM k GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)
+"""

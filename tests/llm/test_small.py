@@ -605,7 +605,7 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("limits", [{}, {"GROUP_SETS": 5, "FREQUENT": 3, "FLUSH": 2000}])
+@pytest.mark.parametrize("limits", [{}, {"GROUP_SETS": 5, "FREQUENT": 3, "FLUSH": 2000}, {"GROUP_HASHES": 50, "BLOCKS": 2}])
 def test_components_equal_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(shingle_join, k, v)
