@@ -207,10 +207,10 @@ def longest_previous(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
 def covered(data: np.ndarray, at: np.ndarray, sizes: np.ndarray, who: np.ndarray) -> np.ndarray:
     """Whether the longest previous factor of each string data[at : at + sizes] covers it whole; who ranks the sources."""
     found = np.zeros(len(at), bool)
-    inner = np.arange(WIDTH)
+    wide = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(WIDTH, np.uint8)), WIDTH)
     for part in _slices(data, at):
-        place = at[part][:, None] + inner
-        rows = np.where(inner < sizes[part][:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
+        rows = wide[at[part]]
+        rows[np.arange(WIDTH) >= sizes[part][:, None]] = 0
         order, common = suffix_order(rows, sizes[part])
         found[part[order]] = longest_previous(who[part[order]], common) >= sizes[part][order]
     return found
