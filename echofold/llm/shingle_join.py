@@ -51,9 +51,9 @@ BLOCK, FLUSH = 1 << 20, 800_000
 #: In how many sets of one flush a hash counts as frequent; all such have the last place in the order.
 FREQUENT, LAST = 64, 255
 #: Sets and hashes of a block: more of either in a group make several tiles.
-GROUP_SETS, GROUP_HASHES = 512, 1 << 18
+GROUP_SETS, GROUP_HASHES = 256, 1 << 18
 #: Blocks of a group beyond which its sets are dealt by their first hashes.
-BLOCKS = 32
+BLOCKS = 256
 
 _rng = np.random.RandomState(31)
 _BYTE = _rng.randint(0, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
