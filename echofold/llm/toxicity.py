@@ -47,7 +47,7 @@ BUCKETS = 1 << 17
 VECTORS, FEWER = 1 << 13, 4
 VECTOR_RATE = 0.02
 #: Bytes of text, and windows, that are worked on at once.
-BLOCK, WINDOWS = 1 << 20, 1 << 12
+BLOCK, WINDOWS = 1 << 20, 1 << 11
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 _rng = np.random.RandomState(7)
@@ -321,30 +321,33 @@ class Lesson:
     """The words of the training texts, one text after the other, with their grams."""
 
     def __init__(self, read: Iterable[Words], numbers: Iterable[np.ndarray]) -> None:
-        word, gram, cuts, given, at = [], [], [], [], 0
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        at = 0
         for w, x in zip(read, numbers):
-            word.append((w.word >> FEWER).astype(np.uint16))
-            gram.append((w.gram4 >> FEWER).astype(np.uint16))
-            cuts.append(w.cuts.astype(np.int64) + at)
-            given.append(x)
+            # Few bytes a word, as all training texts are held at once.
+            for own, c in zip(columns, ((w.word >> FEWER).astype(np.uint16), (w.gram4 >> FEWER).astype(np.uint16), (w.cuts + at).astype(np.uint32), x.astype(np.float16))):
+                own.append(c)
             at += len(w.gram4)
-        self.lengths = np.array([len(w) for w in word], np.int64)
+        self.lengths = np.array([len(w) for w in columns[0]], np.int64)
         # A last word of zeros stands where a window is longer than its text.
-        self.word = np.concatenate([*word, np.zeros(1, np.uint16)])
-        self.gram = np.concatenate([*gram, np.zeros(1, np.uint16)])
-        self.cuts = np.concatenate([*cuts, [at, at + 1]])
-        self.given = np.concatenate([*given, np.zeros((1, FITTED), np.float32)])
+        rest = (np.zeros(1, np.uint16), np.zeros(1, np.uint16), np.array([at, at + 1], np.uint32), np.zeros((1, FITTED), np.float16))
+        made = []
+        for own, last in zip(columns, rest):
+            made.append(np.concatenate([*own, last]))
+            own.clear()
+        self.word, self.gram, self.cuts, self.given = made
 
     def rows(self, words: slice, network: Network) -> np.ndarray:
         """All inputs of words that follow each other, and a row of zeros."""
-        cuts = self.cuts[2 * words.start : 2 * words.stop]
+        cuts = self.cuts[2 * words.start : 2 * words.stop].astype(np.int64)
         grams = self.gram[cuts[0] : cuts[-1]] if len(cuts) else self.gram[:0]
-        made = np.concatenate([self.given[words], network.p["words"][self.word[words]], _means(grams, cuts - cuts[0] if len(cuts) else cuts, network.p["chars"])], 1)
+        made = np.concatenate([self.given[words].astype(np.float32), network.p["words"][self.word[words]], _means(grams, cuts - cuts[0] if len(cuts) else cuts, network.p["chars"])], 1)
         return np.concatenate([made, np.zeros((1, INPUTS), np.float32)])
 
     def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(gram, which of the words it belongs to)."""
-        begin, n = self.cuts[2 * words], self.cuts[2 * words + 1] - self.cuts[2 * words]
+        begin, end = self.cuts[2 * words].astype(np.int64), self.cuts[2 * words + 1].astype(np.int64)
+        n = end - begin
         of = np.repeat(np.arange(len(words)), n)
         return self.gram[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + begin[of]], of
 
@@ -387,8 +390,9 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Scorer:
     starts = np.concatenate([w + a for w, a in zip(own, first)])
     ends = np.repeat(first + lengths, many)
     # To begin with, a text is judged by the window with the largest odds.
-    evidence = np.concatenate([[0], np.cumsum(np.maximum(lesson.given[:-1, 0], 0) + np.maximum(lesson.given[:-1, 2], 0))])
+    evidence = np.concatenate([[0], np.cumsum(np.maximum(lesson.given[:-1, 0], 0) + np.maximum(lesson.given[:-1, 2], 0), dtype=np.float64)])
     rank = evidence[np.minimum(starts + WINDOW, ends)] - evidence[starts]
+    del evidence
     r = np.random.RandomState(5)
     weight = np.where(y == 1, 0.5 * len(y) / max(1, y.sum()), 0.5 * len(y) / max(1, (1 - y).sum()))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.p.items() if k not in ("words", "chars")}
