@@ -51,7 +51,7 @@ LENGTH, GRAM = 50, 24
 #: Bytes of a stretch at most: its windows share an anchor.
 WIDTH = 2 * LENGTH - GRAM
 #: Windows of a text that are worked on at once, and stretches that are dealt out at once.
-BLOCK, FLUSH = 1 << 18, 600_000
+BLOCK, FLUSH = 1 << 18, 400_000
 #: From so many different stretches with one gram on, they are dealt out window by window.
 MANY = 20_000
 #: Windows that are put in order at once.
@@ -116,7 +116,7 @@ EXCHANGED_SQL = "bucket int, kind int, payload binary"
 #: and where an earlier document seems to hold them; texts of such passages.
 STRETCHES, SPANS, ASKED, TEXTS, PAIRED, COPIES = range(6)
 #: Bytes of passages that are put in order at once.
-PASSAGES = 1 << 22
+PASSAGES = 1 << 21
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
