@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -28,13 +29,38 @@ def local_session(cpus: int | str = "*", app: str = "echofold", shuffle: int | N
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that all machines share.
 
-    The folder is the one named by spark.checkpoint.dir; only where that is
-    unset, as in local tests, a local folder is taken.
+    The folder is the one named by spark.checkpoint.dir. Where that is unset, a
+    session of one machine takes a local folder; on a cluster that is an error,
+    as its machines would each see another. What an application writes is
+    deleted when its process ends.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not top:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.gettempdir() + "/echofold-shared"
-    return f"{top.rstrip('/')}/echofold/{kind}-{uuid.uuid4().hex}"
+    own = f"{top.rstrip('/')}/echofold/{context.applicationId}"
+    if own not in _folders:
+        _folders.add(own)
+        atexit.register(_remove_at_end, spark, own)
+    return f"{own}/{kind}-{uuid.uuid4().hex}"
+
+
+_folders: set[str] = set()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of any store that the session can reach."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # noqa: BLE001  the session may be closed: then the folder stays
+        pass
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
