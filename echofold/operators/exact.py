@@ -77,17 +77,18 @@ def to_hash(files: DataFrame) -> DataFrame:
 def exact_groups(files: DataFrame, content: str = "content") -> DataFrame:
     """Groups of byte-identical files: group_id (the smallest), members, size, bytes to reclaim.
 
-    Files are grouped by size and a 256-bit digest, so no content is shuffled;
-    a digest of that length stands for the bytes.
+    Only files whose size is not unique are hashed. They are grouped by size
+    and a 256-bit digest, so no content is shuffled; a digest of that length
+    stands for the bytes. A group is one row: exact_members() has large ones.
     """
-    keyed = files.select("file_id", "size_bytes", F.sha2(F.col(content), 256).alias("digest"))
+    keyed = to_hash(files).select("file_id", "size_bytes", F.sha2(F.col(content), 256).alias("digest"))
     grouped = keyed.groupBy("size_bytes", "digest").agg(F.sort_array(F.collect_list("file_id")).alias("members")).where(F.size("members") >= 2)
     return grouped.select(F.col("members")[0].alias("group_id"), "members", "size_bytes", ((F.size("members") - 1) * F.col("size_bytes")).cast("long").alias("reclaimable_bytes"))
 
 
 def exact_members(files: DataFrame, content: str = "content") -> DataFrame:
     """(group_id, file_id) of duplicates, one row each: for groups too large for one row."""
-    keyed = files.select("file_id", "size_bytes", F.sha2(F.col(content), 256).alias("digest"))
+    keyed = to_hash(files).select("file_id", "size_bytes", F.sha2(F.col(content), 256).alias("digest"))
     first = keyed.groupBy("size_bytes", "digest").agg(F.min("file_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n >= 2")
     return keyed.join(first, ["size_bytes", "digest"]).select("group_id", "file_id")
 
