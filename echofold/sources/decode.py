@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.functions.signatures import HASHES, box_edges, phash_values
+from echofold.sources.files import format_of, sniff
 
 # Weights of red, green and blue in gray, by the convention of each format.
 GRAY = {"jpeg": (0.299, 0.587, 0.114), "png": (0.2126, 0.7152, 0.0722)}
 LUMA = (0.299, 0.587, 0.114)
-DECODED = "path string, width int, height int, " + ", ".join(f"{h} long" for h in HASHES) + ", mean_brightness float, contrast float, histogram array<float>, error string"
+DECODED = "path string, format string, width int, height int, " + ", ".join(f"{h} long" for h in HASHES) + ", mean_brightness float, contrast float, histogram array<float>, error string"
 
 
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
@@ -28,7 +30,7 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def shrink(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """A first halving by powers of two, as decoders do, while twice the target is left on both sides."""
+    """A first halving by powers of two, as JPEG decoders do, while twice the target is left on both sides."""
     scale = 1
     while scale < 8 and image.shape[1] // (2 * scale) >= width and image.shape[0] // (2 * scale) >= height:
         scale *= 2
@@ -49,14 +51,19 @@ def dhash_of(wide: np.ndarray) -> int:
     return _bits(wide[:8, :-1] > wide[:8, 1:])
 
 
-def hashes_of(gray: np.ndarray) -> dict[str, int]:
+#: How each format comes to a smaller size: JPEG is halved while it is decoded, PNG is not.
+SMALLER = {"jpeg": shrink, "png": resize}
+
+
+def hashes_of(gray: np.ndarray, kind: str = "jpeg") -> dict[str, int]:
     """All seven hashes of a gray image of any size."""
-    upright, square = shrink(gray, 9, 8), shrink(gray, 9, 9)
+    smaller = SMALLER[kind]
+    upright, square = smaller(gray, 9, 8), smaller(gray, 9, 9)
     turn = lambda k: np.ascontiguousarray(np.rot90(square, -k))
     return {
-        "ahash": ahash_of(shrink(gray, 8, 8)),
+        "ahash": ahash_of(smaller(gray, 8, 8)),
         "dhash": dhash_of(upright),
-        "phash": int(phash_values(shrink(gray, 32, 32)[None]).view(np.int64)[0]),
+        "phash": int(phash_values(smaller(gray, 32, 32)[None]).view(np.int64)[0]),
         "dhash_mirror": dhash_of(upright[:, ::-1]),
         "dhash_rot90": dhash_of(turn(1)),
         "dhash_rot180": dhash_of(turn(2)),
@@ -64,9 +71,9 @@ def hashes_of(gray: np.ndarray) -> dict[str, int]:
     }
 
 
-def features_of(rgb: np.ndarray) -> tuple[np.float32, np.float32, np.ndarray]:
+def features_of(rgb: np.ndarray, kind: str = "jpeg") -> tuple[np.float32, np.float32, np.ndarray]:
     """Mean brightness, contrast and colour histogram of an image shrunk to 32 by 32."""
-    small = shrink(rgb, 32, 32).astype(np.int64)
+    small = SMALLER[kind](rgb, 32, 32).astype(np.int64)
     bins = (small[..., 0] >> 6) * 16 + (small[..., 1] >> 6) * 4 + (small[..., 2] >> 6)
     light = small @ np.array(LUMA)
     deviation = np.sqrt(max(0.0, float((light**2).mean() - light.mean() ** 2)))
@@ -79,27 +86,50 @@ def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return image.repeat(3, 2) if channels == 1 else image[:, :, 2::-1]
 
 
+def _kinds(origin: str) -> tuple[str, ...]:
+    """The format of a file on this machine, by its first bytes; both where the file lies elsewhere."""
+    if not origin.startswith(("file:", "/")):
+        return tuple(SMALLER)
+    path = unquote(urlsplit(origin).path) if origin.startswith("file:") else origin
+    try:
+        return (sniff(path) or "jpeg",)
+    except OSError:
+        return tuple(SMALLER)
+
+
 def decode(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Hashes and features of every image file, by DECODED; what can't be decoded has an error."""
+    """Hashes and features of every image file, by DECODED; what can't be decoded has an error.
+
+    A file's format is told by its first bytes, never by its name. Files that
+    workers can't open themselves are made into rows of both formats, of which
+    a second look at their contents keeps one.
+    """
     raw = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(paths)
     flat = raw.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for origin, height, width, channels, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for i in range(batch.num_rows):  # one image's pixels at a time
+                origin, height, width, channels, data = (batch.column(k)[i].as_py() for k in range(5))
                 if height is None or height <= 0:
                     rows.append({"path": origin, "error": "corrupt or unsupported image"})
                     continue
                 rgb = pixels(height, width, channels, data)
-                kind = "png" if origin.lower().endswith(".png") else "jpeg"
-                gray = rgb[:, :, 0] if channels == 1 else np.rint(rgb @ np.array(GRAY[kind])).astype(np.uint8)
-                mean, contrast, histogram = features_of(rgb)
-                rows.append({"path": origin, "width": width, "height": height, **hashes_of(gray), "mean_brightness": mean, "contrast": contrast, "histogram": histogram, "error": None})
-            schema = pa.schema([("path", pa.string()), ("width", pa.int32()), ("height", pa.int32()), *[(h, pa.int64()) for h in HASHES], ("mean_brightness", pa.float32()), ("contrast", pa.float32()), ("histogram", pa.list_(pa.float32())), ("error", pa.string())])
+                for kind in _kinds(origin):
+                    gray = rgb[:, :, 0] if channels == 1 else np.rint(rgb @ np.array(GRAY[kind])).astype(np.uint8)
+                    mean, contrast, histogram = features_of(rgb, kind)
+                    rows.append({"path": origin, "format": kind, "width": width, "height": height, **hashes_of(gray, kind), "mean_brightness": mean, "contrast": contrast, "histogram": histogram, "error": None})
+            schema = pa.schema([("path", pa.string()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), *[(h, pa.int64()) for h in HASHES], ("mean_brightness", pa.float32()), ("contrast", pa.float32()), ("histogram", pa.list_(pa.float32())), ("error", pa.string())])
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return flat.mapInArrow(run, DECODED)
+    made = flat.mapInArrow(run, DECODED)
+    roots = [paths] if isinstance(paths, str) else paths
+    if all(p.startswith(("/", "file:")) for p in roots):
+        return made
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    known = content.select(F.col("path").alias("_path"), format_of(F.col("content")).alias("_format"))
+    return made.join(known, F.col("path") == F.col("_path"), "left").where("format IS NULL OR format = coalesce(_format, 'jpeg')").select(*made.columns)
 
 
 def decoded(images: DataFrame) -> DataFrame:

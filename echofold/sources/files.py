@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import stat
+from collections import deque
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -72,8 +73,16 @@ class _Folder(InputPartition):
         self.path, self.deep = path, deep
 
 
+#: Folders that the driver looks into, level by level, before the rest is left to tasks.
+LISTED = 256
+
+
 class ScanReader(DataSourceReader):
-    """One partition for the files of each root and one for each folder right below it."""
+    """One partition for each folder's own files as far as folders were listed, one for all below each other folder.
+
+    The driver lists at most LISTED folders, so a deep or wide tree makes many
+    tasks and a flat one few.
+    """
 
     def __init__(self, options: dict) -> None:
         self.roots = [r for r in options.get("roots", "").split("\n") if r]
@@ -82,13 +91,15 @@ class ScanReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         found: list[InputPartition] = []
-        for root in self.roots:
-            found.append(_Folder(root, False))
+        todo = deque(self.roots)
+        while todo and len(found) < LISTED:
+            folder = todo.popleft()
+            found.append(_Folder(folder, False))
             try:
-                found += [_Folder(e.path, True) for e in sorted(os.scandir(root), key=lambda e: e.name) if e.is_dir(follow_symlinks=self.follow)]
+                todo += [e.path for e in sorted(os.scandir(folder), key=lambda e: e.name) if e.is_dir(follow_symlinks=self.follow)]
             except OSError:
                 pass
-        return found or [_Folder("", False)]
+        return found + [_Folder(path, True) for path in todo] or [_Folder("", False)]
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
         if not partition.path:
@@ -96,12 +107,15 @@ class ScanReader(DataSourceReader):
         if not os.path.isdir(partition.path):
             yield ("error", partition.path, None, None, None, None, "not a readable directory")
             return
+        roots = set(self.roots)
         todo = [partition.path]
         while todo:
             folder = todo.pop()
             try:
                 entries = sorted(os.scandir(folder), key=lambda e: e.name)
             except PermissionError:
+                if folder in roots:
+                    yield ("error", folder, None, None, None, None, "not a readable directory")
                 continue
             except OSError as e:
                 yield ("error", folder, None, None, None, None, str(e))
