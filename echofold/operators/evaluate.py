@@ -22,6 +22,17 @@ def base_and_transform(path: Column) -> Column:
     return F.struct(F.when(found != "", F.regexp_extract(name, pattern, 1)).otherwise(name).alias("base"), F.when(found != "", found).otherwise(F.lit("original")).alias("transform"))
 
 
+def base_sizes(files: DataFrame, base: str = "base") -> DataFrame:
+    """How many bases have how many files; size 1 are singletons, which have no true pair."""
+    return files.groupBy(base).agg(F.count(F.lit(1)).alias("files")).groupBy("files").agg(F.count(F.lit(1)).alias("bases")).withColumn("singletons", F.col("files") == 1)
+
+
+def worst(scored: DataFrame, label: int, n: int = 15) -> DataFrame:
+    """The n wrongly judged pairs of a label that were most certain: false positives for 0, false negatives for 1."""
+    order = F.col("probability").desc() if label == 0 else F.col("probability").asc()
+    return scored.where((F.col("label") == label) & (F.col("verdict") != label)).orderBy(order, "a", "b").limit(n)
+
+
 def truth_pairs(files: DataFrame, base: str = "base", file: str = "file") -> DataFrame:
     """All pairs of files with one base."""
     a, b = files.select(base, F.col(file).alias("a")), files.select(base, F.col(file).alias("b"))

@@ -52,6 +52,19 @@ def summary(exact: DataFrame, near: DataFrame, blocked: DataFrame) -> DataFrame:
     return both.select((F.col("exact_groups") + F.col("near_groups")).alias("total_groups"), "exact_groups", "near_groups", (F.col("exact_groups_bytes") + F.col("near_groups_bytes")).alias("reclaimable_bytes"), "weak_merges_blocked")
 
 
+def megabytes(size: Column) -> Column:
+    """A size in MB of 2^20 bytes with two places, as text."""
+    return F.concat(F.format_string("%.2f", size.cast("double") / (1 << 20)), F.lit(" MB"))
+
+
+def largest(members: DataFrame, sizes: DataFrame, n: int = 5) -> DataFrame:
+    """The n groups with most bytes to reclaim: group_id, copies, bytes, text; members: (group_id, file_id)."""
+    by = members.join(sizes.select("file_id", "size_bytes"), "file_id").groupBy("group_id")
+    made = by.agg(F.count(F.lit(1)).alias("copies"), (F.sum("size_bytes") - F.max("size_bytes")).cast("long").alias("reclaimable_bytes"))
+    # A group's files have one size, so all but one of them can go.
+    return made.withColumn("reclaimable", megabytes(F.col("reclaimable_bytes"))).orderBy(F.col("reclaimable_bytes").desc(), "group_id").limit(n)
+
+
 def shown_at(kind: Column, probabilities: Column, threshold: float) -> Column:
     """Whether a group is shown at a threshold: exact ones, those without evidence, those with a pair that reaches it."""
     return (kind == "exact") | probabilities.isNull() | (F.size(probabilities) == 0) | F.exists(probabilities, lambda p: p.cast("double") >= F.lit(threshold))
@@ -69,6 +82,12 @@ def report_json(groups: Iterable[dict], scan_info: dict, errors: list[dict], tot
     return json.dumps(body, indent=2, sort_keys=True)
 
 
+def write_rows(path: str, exact: DataFrame, near: DataFrame) -> None:
+    """The report's groups as JSON lines below path, by Spark, whatever their number."""
+    lines = lambda d: d.select("type", "rank", F.to_json(F.struct(*d.columns)).alias("value"))
+    lines(exact).unionByName(lines(near)).select("value").write.mode("overwrite").text(path)
+
+
 def write_report(path: str, exact: DataFrame | None, near: DataFrame | None, scan_info: dict, errors: list[dict], totals: dict) -> None:
     """The report in one file. Groups come to the driver one partition at a time; large libraries keep the rows of exact_rows() and near_rows()."""
     if exact is None or near is None:

@@ -16,7 +16,12 @@ PRECISION = 0.98
 
 def hashed_split(base: Column, seed: int = 42) -> Column:
     """train, val or test (70, 15, 15 of 100) by a hash of the base image: copies never cross splits."""
-    return split_at(F.pmod(F.xxhash64(base, F.lit(seed)), F.lit(100)), 70, 85)
+    return split_at(F.conv(F.substring(drawn(seed, base), 1, 8), 16, 10).cast("long") % 100, 70, 85)
+
+
+def drawn(seed: int, *values: Column) -> Column:
+    """A hash in hex that draws rows in an order of their own, the same in any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[v.cast("string") for v in values]))
 
 
 def split_at(place: Column, val_from: int, test_from: int) -> Column:
@@ -25,7 +30,7 @@ def split_at(place: Column, val_from: int, test_from: int) -> Column:
 
 def positives(variants: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """For each base the k variants (base, variant, split) with the smallest hash, as pairs of label 1."""
-    order = W.partitionBy("base").orderBy(F.xxhash64("base", "variant", F.lit(seed)), "variant")
+    order = W.partitionBy("base").orderBy(drawn(seed, F.col("base"), F.col("variant")), "variant")
     picked = variants.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
     return picked.select(F.col("base").alias("base_a"), F.col("base").alias("base_b"), "variant", "split", F.lit(1).alias("label"))
 
@@ -37,8 +42,7 @@ def random_negatives(bases: DataFrame, per_base: int = 1, seed: int = 42) -> Dat
     per_base in that order (round the end), which needs no cross join. Ranks
     are made in two steps, so that no task sees a whole split.
     """
-    h = F.xxhash64("base", F.lit(seed))
-    cells = bases.select("base", "split").distinct().withColumn("h", h).withColumn("cell", F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63)).cast("long")), 54).cast("int"))
+    cells = bases.select("base", "split").distinct().withColumn("h", drawn(seed, F.col("base"))).withColumn("cell", F.substring("h", 1, 3))
     sizes = cells.groupBy("split", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("split").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("before", before).withColumn("total", F.sum("n").over(W.partitionBy("split"))).drop("n")

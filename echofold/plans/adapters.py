@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from echofold.functions import features as f
 from echofold.functions.signatures import signatures
 from echofold.operators import matching, scoring
+from echofold.session import shared_dir
 from echofold.sources.files import JPEG_MAGIC, PNG_MAGIC
 
 SUFFIX_BY_ID = (".jpg", ".png", ".jpeg", ".dat", ".txt")
@@ -29,6 +30,68 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), suffix).alias("path"), F.concat(magic, text).alias("content"))
 
 
+def local_folder(path: str) -> str:
+    """The path of a shared folder as workers open it; they can't write files to other stores."""
+    if not path.startswith(("file:", "/")):
+        raise ValueError(f"{path}: files are made in a folder that all machines mount")
+    return "/" + path.removeprefix("file:").lstrip("/")
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Rows (name, content) as files in a folder that all machines mount."""
+    import os
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                path = os.path.join(folder, name.as_py())
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                draft = f"{path}.{os.getpid()}"
+                with open(draft, "wb") as out:
+                    out.write(content.as_py())
+                os.replace(draft, path)  # a task that runs twice leaves one file
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows.select("name", "content").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
+def file_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The files of files() in a folder of their own, a hundred to a subfolder."""
+    folder = local_folder(shared_dir(spark, "files"))
+    made = files(spark, sf_dir)
+    write_files(made.select(F.concat(F.floor(F.col("file_id") / 100).cast("string"), F.lit("/"), F.substring_index("path", "/", -1)).alias("name"), "content"), folder)
+    return folder
+
+
+def png_tree(spark: SparkSession, sf_dir: str, side: int = 9) -> str:
+    """pictures() as PNG files; each fifth is called .dat, each seventh .jpg."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+
+    def run(batches):
+        for batch in batches:
+            names, contents = [], []
+            for base, width, height, rgb in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                rows = np.frombuffer(rgb, np.uint8).reshape(height, 3 * width)
+                raw = np.concatenate([np.zeros((height, 1), np.uint8), rows], 1).tobytes()
+                head = width.to_bytes(4, "big") + height.to_bytes(4, "big") + bytes([8, 2, 0, 0, 0])
+                suffix = "dat" if int(base) % 5 == 0 else "jpg" if int(base) % 7 == 0 else "png"
+                names.append(f"{int(base) // 100}/{base}.{suffix}")
+                contents.append(PNG_MAGIC + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 1)) + chunk(b"IEND", b""))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(contents, pa.binary())], names=["name", "content"])
+
+    folder = local_folder(shared_dir(spark, "pictures"))
+    write_files(pictures(spark, sf_dir, side).mapInArrow(run, "name string, content binary"), folder)
+    return folder
+
+
 def sized(rows: DataFrame) -> DataFrame:
     return rows.withColumn("size_bytes", F.octet_length("content").cast("long"))
 

@@ -9,8 +9,10 @@ from echofold.functions.features import FEATURES
 from echofold.functions.signatures import HASHES, as_hex
 from echofold.operators import clustering, evaluate, exact, graph, matching, report, scoring, training, transforms
 from echofold.plans import adapters as src
+from echofold.plans import views
 from echofold.plans.oracle import ORACLE_SQL
 from echofold.session import written
+from echofold.sources import decode
 from echofold.sources import files as file_source
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
@@ -67,6 +69,20 @@ def exact_summary(spark, sf_dir):
     return exact.exact_summary(src.sized(src.files(spark, sf_dir)))
 
 
+def scan_images(spark, sf_dir):
+    """A scan of real files: entries, images and skipped files by format."""
+    folder = src.file_tree(spark, sf_dir)
+    rows = file_source.scan(spark, [folder]).where("kind != 'entry'")
+    return rows.groupBy("kind", "format", "extension_mismatch").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("total_bytes"))
+
+
+def decode_images(spark, sf_dir):
+    """PNG files of 72 by 72 pixels, whatever they are called: format, size and plain hashes of each."""
+    rows = decode.decoded(decode.decode(spark, src.png_tree(spark, sf_dir)))
+    name = F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long")
+    return rows.select(name.alias("id"), "format", "width", "height", as_hex(F.col("ahash")).alias("ahash"), as_hex(F.col("dhash")).alias("dhash"))
+
+
 # Signatures and candidates
 
 
@@ -236,13 +252,12 @@ def hashed_split(spark, sf_dir):
 def positives(spark, sf_dir):
     """Three variants of every base as positive pairs."""
     variants = _bases(spark, sf_dir).withColumn("variant", F.explode(F.array(*[F.lit(v) for v in evaluate.SUFFIXES])))
-    return training.positives(variants, 3).groupBy("split", "label").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("base_a").alias("bases"))
+    return training.positives(variants, 3)
 
 
 def negatives(spark, sf_dir):
     """As many random negatives as bases, within splits."""
-    made = training.random_negatives(_bases(spark, sf_dir))
-    return made.groupBy("split", "label").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("base_a", "base_b").alias("distinct_pairs"), F.count_if(F.col("base_a") >= F.col("base_b")).alias("disordered"))
+    return training.random_negatives(_bases(spark, sf_dir))
 
 
 def _mined(spark, sf_dir):
@@ -302,6 +317,32 @@ def _truth(spark, sf_dir):
     return evaluate.truth_pairs(rows)
 
 
+def base_sizes(spark, sf_dir):
+    """How many labels have how many images."""
+    return evaluate.base_sizes(src.read(spark, sf_dir, "embeddings").select(F.col("label").alias("base")))
+
+
+def worst_false_positives(spark, sf_dir):
+    return evaluate.worst(src.labelled(spark, sf_dir), 0).select("a", "b", F.round(F.col("probability").cast("double"), 5).alias("probability"))
+
+
+def worst_false_negatives(spark, sf_dir):
+    return evaluate.worst(src.labelled(spark, sf_dir), 1).select("a", "b", F.round(F.col("probability").cast("double"), 5).alias("probability"))
+
+
+def largest_groups(spark, sf_dir):
+    """The five exact groups with most bytes to reclaim."""
+    files = src.sized(src.files(spark, sf_dir))
+    return report.largest(exact.exact_members(files), files)
+
+
+def sql_functions(spark, sf_dir):
+    """Distances by the registered functions, over views of two stages."""
+    views.register(spark, hashes=src.hashed(spark, sf_dir), images=src.images(spark, sf_dir))
+    return spark.sql("""SELECT a.id AS a, b.id AS b, hamming(a.dhash, b.dhash) AS d_dhash, round(CAST(hist_distance(x.histogram, y.histogram) AS DOUBLE), 5) AS hist_distance
+        FROM hashes a JOIN hashes b ON a.label = b.label AND a.id < b.id JOIN images x ON x.id = a.id JOIN images y ON y.id = b.id""")
+
+
 def truth_pairs(spark, sf_dir):
     return _truth(spark, sf_dir).agg(F.count(F.lit(1)).alias("pairs"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"))
 
@@ -356,7 +397,7 @@ def train_logreg(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_inventory, scan_files, scan_skipped_nonimage, scan_min_size, size_buckets, exact_hash_fnv1a, exact_groups, exact_members, exact_summary,
+        scan_images, decode_images, base_sizes, worst_false_positives, worst_false_negatives, largest_groups, sql_functions, scan_inventory, scan_files, scan_skipped_nonimage, scan_min_size, size_buckets, exact_hash_fnv1a, exact_groups, exact_members, exact_summary,
         hamming_pairs, oriented_pairs, candidates_union, candidates_topk, match_metrics, candidate_distance_histogram,
         image_features, pair_features, pair_scores, verdict_summary, prob_histogram, top_confident, fallback_verdicts, feature_export,
         components, clusters, clusters_core_half, cluster_blocked, clusters_strong, cluster_keep, near_reclaimable, report_groups, report_summary, report_near_json, groups_at_threshold,

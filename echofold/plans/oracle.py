@@ -159,6 +159,33 @@ def _with(parts: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts.strip()}\n{select}"
 
 
+def _greedy(core: str, cap: int, select: str) -> str:
+    """Edges one at a time by falling probability: the state is each node's label, and each label's weakest edge."""
+    return _with(
+        _SCORED + f""",
+    good AS MATERIALIZED (SELECT a, b, probability AS p FROM scored WHERE verdict = 1),
+    nodes AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS i FROM (SELECT a AS id FROM good UNION SELECT b FROM good)),
+    queue AS MATERIALIZED (SELECT row_number() OVER (ORDER BY p DESC, a, b) AS k, x.i AS i, y.i AS j, p FROM good JOIN nodes x ON x.id = a JOIN nodes y ON y.id = b),
+    state(k, label, weakest, weak, capped) AS (
+      SELECT 0::BIGINT, (SELECT coalesce(list(i ORDER BY i), []) FROM nodes), (SELECT coalesce(list(1::FLOAT ORDER BY i), []) FROM nodes), 0::BIGINT, 0::BIGINT
+      UNION ALL SELECT k,
+        CASE WHEN act = 'join' THEN list_transform(label, lambda x: CASE WHEN x = hi THEN lo ELSE x END) ELSE label END,
+        CASE WHEN act = 'join' THEN list_transform(weakest, lambda w, n: CASE WHEN n = lo THEN least(w, weakest[hi], p) ELSE w END) ELSE weakest END,
+        weak + (act = 'weak')::BIGINT, capped + (act = 'capped')::BIGINT
+      FROM (SELECT q.k, s.label, s.weakest, s.weak, s.capped, q.p, least(s.label[q.i], s.label[q.j]) AS lo, greatest(s.label[q.i], s.label[q.j]) AS hi,
+          len(list_filter(s.label, lambda x: x = s.label[q.i])) AS m, len(list_filter(s.label, lambda x: x = s.label[q.j])) AS n,
+          CASE WHEN s.label[q.i] = s.label[q.j] THEN 'same' WHEN {cap} > 0 AND m + n > {cap} THEN 'capped'
+            WHEN q.p < ({core})::FLOAT AND m > 1 AND n > 1 THEN 'weak' ELSE 'join' END AS act
+        FROM state s JOIN queue q ON q.k = s.k + 1)),
+    last AS MATERIALIZED (SELECT * FROM state ORDER BY k DESC LIMIT 1),
+    made AS (
+      SELECT min(n.id) AS cluster_id, count(*)::INTEGER AS size, string_agg(n.id::VARCHAR, ',' ORDER BY n.id) AS members, round(any_value(l.weakest[l.label[n.i]])::DOUBLE, 6) AS weakest_link
+      FROM nodes n, last l GROUP BY l.label[n.i] HAVING count(*) > 1)""",
+        select,
+        True,
+    )
+
+
 _NAMES = "(['', " + ", ".join(f"'_{s}'" for s in SUFFIXES) + "])"
 _TRANSFORMS = "(['original', " + ", ".join(f"'{s}'" for s in SUFFIXES) + "])"
 
@@ -234,8 +261,40 @@ ORACLE_SQL = {
         True,
     ),
     "split_by_base": f"SELECT {_SPLIT.format('vec_id')} AS split, label, count(*) AS bases FROM embeddings GROUP BY ALL",
-    "positives": f"SELECT {_SPLIT.format('vec_id')} AS split, 1 AS label, 3 * count(*) AS pairs, count(*) AS bases FROM embeddings GROUP BY ALL",
-    "negatives": f"SELECT {_SPLIT.format('vec_id')} AS split, 0 AS label, count(*) AS pairs, count(*) AS distinct_pairs, 0::BIGINT AS disordered FROM embeddings GROUP BY ALL",
+    "positives": f"""SELECT vec_id AS base_a, vec_id AS base_b, variant, {_SPLIT.format('vec_id')} AS split, 1 AS label
+        FROM (SELECT vec_id, unnest([{', '.join(f"'{s}'" for s in SUFFIXES)}]) AS variant FROM embeddings)
+        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY md5('42:' || vec_id || ':' || variant), variant) <= 3""",
+    "negatives": f"""WITH r AS (SELECT vec_id, {_SPLIT.format('vec_id')} AS split, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY {_SPLIT.format('vec_id')}) AS n
+        FROM embeddings WINDOW w AS (PARTITION BY {_SPLIT.format('vec_id')} ORDER BY md5('42:' || vec_id)))
+        SELECT DISTINCT least(x.vec_id, y.vec_id) AS base_a, greatest(x.vec_id, y.vec_id) AS base_b, x.split, 0 AS label
+        FROM r x JOIN r y ON x.split = y.split AND y.k = (x.k + 1) % x.n WHERE x.vec_id <> y.vec_id""",
+    "hashed_split": """SELECT CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'val' ELSE 'test' END AS split, count(*) AS bases
+        FROM (SELECT ('0x' || md5('42:' || doc_id)[1:8])::BIGINT % 100 AS h FROM documents) GROUP BY 1""",
+    "base_sizes": "SELECT files, count(*) AS bases, files = 1 AS singletons FROM (SELECT count(*) AS files FROM embeddings GROUP BY label) GROUP BY files",
+    "worst_false_positives": _with(_LABELLED, "SELECT a, b, round(probability::DOUBLE, 5) AS probability FROM labelled WHERE label = 0 AND verdict = 1 ORDER BY labelled.probability DESC, a, b LIMIT 15"),
+    "worst_false_negatives": _with(_LABELLED, "SELECT a, b, round(probability::DOUBLE, 5) AS probability FROM labelled WHERE label = 1 AND verdict = 0 ORDER BY labelled.probability, a, b LIMIT 15"),
+    "largest_groups": _with(_EXACT, "SELECT group_id, n_members AS copies, reclaimable_bytes, printf('%.2f MB', reclaimable_bytes / 1048576.0::DOUBLE) AS reclaimable FROM groups ORDER BY reclaimable_bytes DESC, group_id LIMIT 5"),
+    "sql_functions": _with(
+        _HASHED + "," + _IMAGES,
+        """SELECT a.id AS a, b.id AS b, bit_count(xor(a.dhash, b.dhash))::INTEGER AS d_dhash,
+          round((1 - list_sum(list_transform(range(64), lambda k: least(x.hist[k + 1], y.hist[k + 1]))) / 64.0::DOUBLE)::FLOAT::DOUBLE, 5) AS hist_distance
+        FROM hashes a JOIN thumbs t ON t.id = a.id JOIN thumbs u ON u.label = t.label AND u.id > t.id JOIN hashes b ON b.id = u.id JOIN images x ON x.id = a.id JOIN images y ON y.id = b.id""",
+    ),
+    "scan_images": _with(
+        _FILES,
+        """SELECT CASE WHEN format IS NULL THEN 'skipped' ELSE 'image' END AS kind, format, CASE WHEN format IS NOT NULL THEN extension_mismatch END AS extension_mismatch,
+          count(*) AS files, sum(size_bytes)::BIGINT AS total_bytes FROM files WHERE size_bytes >= 1 GROUP BY ALL""",
+    ),
+    "decode_images": _with(
+        _PIXELS,
+        f""", gray AS MATERIALIZED (SELECT id, list_transform(range(64), lambda i: round_even(0.2126::DOUBLE * px[i + 1] + 0.7152::DOUBLE * px[(i + 21) % 64 + 1] + 0.0722::DOUBLE * px[(i + 42) % 64 + 1], 0)::INTEGER) AS g FROM thumbs),
+        wide AS MATERIALIZED (SELECT id, g, list_transform(range(72), lambda i: list_sum(list_transform(range(8), lambda c: g[i // 9 * 8 + (8 * (i % 9) + c) // 9 + 1]))::INTEGER // 8) AS w FROM gray)
+        SELECT id, 'png' AS format, 72 AS width, 72 AS height, lpad(lower(to_hex(({_sum_of_bits([f"g[{i + 1}] > list_sum(g)::INTEGER // 64" for i in range(64)])})::UBIGINT)), 16, '0') AS ahash,
+          lpad(lower(to_hex(({_sum_of_bits([f"w[{9 * (i // 8) + i % 8 + 1}] > w[{9 * (i // 8) + i % 8 + 2}]" for i in range(64)])})::UBIGINT)), 16, '0') AS dhash FROM wide""",
+    ),
+    "clusters": _greedy("0.9", 0, "SELECT cluster_id, size, members, weakest_link FROM made"),
+    "clusters_core_half": _greedy("0.5", 8, "SELECT cluster_id, size, members, weakest_link FROM made"),
+    "cluster_blocked": _greedy("0.9", 0, "SELECT weak AS weak_blocked, capped AS size_blocked FROM last"),
     "mine_negatives": _with(_MINED, "SELECT * FROM mined"),
     "mined_unknown_bases": _with(_PAIRS, "SELECT count(*) AS pairs FROM pairs WHERE a % 7 = 0 OR b % 7 = 0"),
     "mined_distance_hist": _with(_MINED, "SELECT (d_min // 4 * 4)::INTEGER AS d_from, count(*) AS pairs FROM mined GROUP BY ALL"),
