@@ -76,6 +76,21 @@ def test_decode(spark, pictures):
     assert sum(rows["big.jpg"]["histogram"]) == pytest.approx(1, abs=1e-4) and rows["big.jpg"]["contrast"] > 20
 
 
+def test_format_is_told_by_content(spark, tmp_path):
+    import numpy as np
+
+    rows = textured(2, 40)
+    for name in ("a.png", "b.dat", "c.jpg"):
+        (tmp_path / name).write_bytes(png(rows))
+    (tmp_path / "d.png").write_bytes(jpeg(spark, rows))
+    got = {r["path"][-5:]: r for r in decode.decode(spark, str(tmp_path)).collect()}
+    assert [got[k]["format"] for k in ("a.png", "b.dat", "c.jpg", "d.png")] == ["png", "png", "png", "jpeg"]
+    assert len({tuple(got[k][h] for h in HASHES) for k in ("a.png", "b.dat", "c.jpg")}) == 1
+    gray = np.rint(np.array(rows) @ np.array(decode.GRAY["png"])).astype(np.uint8)
+    small = decode.resize(gray, 8, 8)  # once, without a first halving
+    assert got["a.png"]["ahash"] == decode.ahash_of(small)
+
+
 def test_shrink_keeps_the_ramp():
     import numpy as np
 
@@ -95,10 +110,18 @@ def test_command_line(spark, pictures, tmp_path, capsys):
     assert any(g["type"] == "near" and sum(m["keep"] for m in g["members"]) == 1 for g in got["groups"])
     mined = cli.run_mine(spark, str(pictures), str(tmp_path / "mined"))
     assert mined["failed_images"] == 1 and spark.read.option("header", True).csv(str(tmp_path / "mined")).count() > 0
+    text = "\n".join(cli.lines(out))
+    assert "Images found: 9" in text and "1 copies" not in text and " MB to reclaim" in text and "images/s" in text
+    groups = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "report.json.rows")).collect()]
+    assert len(groups) == len(got["groups"]) == out["total_groups"]
+    assert spark.sql("SELECT count(*) AS n FROM images WHERE hamming(dhash, dhash) = 0").first()["n"] == 8
     manifest = tmp_path / "pairs.csv"
     lines = ["path_a,path_b,label,transform,split,base_a,base_b", f"{pictures}/t1.png,{pictures}/t1_whatsapp.jpg,1,whatsapp,train,t1,t1", f"{pictures}/t1.png,{pictures}/t2.png,0,none,train,t1,t2", "short,line", f"{pictures}/t1.png,{pictures}/bad.jpg,0,none,train,t1,bad"]
     manifest.write_text("\r\n".join(lines) + "\r\n")
     assert cli.run_export(spark, str(manifest), str(tmp_path / "features"))["pairs"] == 2
+    made = cli.run_train(spark, str(tmp_path / "features"), str(tmp_path / "weights.json"))
+    model = scoring.load_model(str(tmp_path / "weights.json"))
+    assert made["rows"] == 2 and model.loaded and model.threshold == pytest.approx(made["threshold"])
 
 
 def test_incremental_matching_equals_one_go(spark, tmp_path):
