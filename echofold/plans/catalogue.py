@@ -338,7 +338,7 @@ def largest_groups(spark, sf_dir):
 
 def sql_functions(spark, sf_dir):
     """Distances by the registered functions, over views of two stages."""
-    views.register(spark, hashes=src.hashed(spark, sf_dir), images=src.images(spark, sf_dir))
+    views.register(spark, hashes=written(src.hashed(spark, sf_dir), "hashes"), images=written(src.images(spark, sf_dir), "images"))
     return spark.sql("""SELECT a.id AS a, b.id AS b, hamming(a.dhash, b.dhash) AS d_dhash, round(CAST(hist_distance(x.histogram, y.histogram) AS DOUBLE), 5) AS hist_distance
         FROM hashes a JOIN hashes b ON a.label = b.label AND a.id < b.id JOIN images x ON x.id = a.id JOIN images y ON y.id = b.id""")
 
