@@ -74,6 +74,12 @@ def _head(kind: str, page_id: int | None, url: str, digest: str, n: int, refers_
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path and the path within it; Hadoop's names of S3 count as S3."""
+    scheme, colon, rest = path.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"s3{colon}{rest}" if scheme in ("s3a", "s3n") else path)
+
+
 def write_archives(records: DataFrame, path: str) -> DataFrame:
     """Write the planned records under path; rows (name, n_records) of the files.
 
@@ -81,7 +87,7 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = pyarrow.fs.FileSystem.from_uri(path)
+        fs, top = file_system(path)
         task = TaskContext.get().partitionId()
         attempt = uuid.uuid4().hex
         fs.create_dir(top, recursive=True)
@@ -150,7 +156,7 @@ def read_archives(names: DataFrame, path: str) -> DataFrame:
         return int(urn[len(URN) + 1 : -1]) if len(urn) > len(URN) + 2 else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, top = pyarrow.fs.FileSystem.from_uri(path)
+        fs, top = file_system(path)
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for name in batch.column("name").to_pylist():
@@ -194,8 +200,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Without payloads the records are small; written once, the archives are read a single time.
     read = written(read_archives(names, path).drop("payload", "url"), "warc-read")
     # A revisit refers to the response that its digest leads to, not to what a header claims alone.
-    found = read.where("record_type = 'response'").select("payload_digest", F.col("page_id").alias("response_id")).distinct()
-    revisits = read.where("record_type = 'revisit'").join(found, "payload_digest").where(F.col("refers_to") == F.col("response_id")).drop("response_id")
+    found = read.where("record_type = 'response'").select("payload_digest", F.col("page_id").alias("refers_to"), F.lit(True).alias("known")).distinct()
+    revisits = read.where("record_type = 'revisit'").join(found, ["payload_digest", "refers_to"], "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("long")
+    revisits = revisits.withColumn("refers_to", F.when(F.col("known"), F.col("refers_to")).otherwise(lost)).select(*read.columns)
     out = read.where("record_type = 'response'").unionByName(revisits)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
