@@ -26,8 +26,11 @@ def parts(spark: SparkSession) -> int:
 
 
 def buckets(spark: SparkSession, groups: int) -> int:
-    """How many groups packed arrays are dealt to: a task works on one of them at a time."""
-    return min(groups * parts(spark), 1 << 16)
+    """How many groups packed arrays are dealt to: a task works on one of them at a time.
+
+    They grow with the session's partitions. 24 bits of a hash choose one of them, so that is their limit.
+    """
+    return min(groups * parts(spark), 1 << 24)
 
 
 def held_out(doc_id: Column) -> Column:

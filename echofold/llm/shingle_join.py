@@ -22,7 +22,7 @@ from the start. Then:
    often, the sets are dealt out by each of their first hashes instead.
 4. Links make components; a document gets the smallest id of its component.
 
-Shingle hashes have 64 bits (48 and the bucket's in the exchange), a set's
+Shingle hashes have 64 bits (48 and the last 16 of the bucket's number in the exchange), a set's
 digest 128: sets with equal digests are equal. Null texts have no words. Rows
 without words link with nothing. A null id never is a component's id unless
 all its ids are null. Repeated rows are linked rows like any other. Very long
@@ -178,7 +178,8 @@ def _deal(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
             all_hashes = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), sizes)
             place = lot << np.uint64(LOT_BITS) | owner.astype(np.uint64)
-            bucket = (((all_hashes >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.uint16)
+            # Numbers of 16 bits are sorted faster.
+            bucket = (((all_hashes >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
             low = all_hashes & np.uint64((1 << 48) - 1)
             rows = [_row(int(_homes(np.array([lot]), homes)[0]), 4, pack(np.array([lot]), np.frombuffer(b"".join(names), np.uint8), sizes.astype("<u4")))]
             order = np.argsort(all_hashes)
@@ -247,7 +248,7 @@ def _count(homes: int):
             keep = (df > 1) | known
             classes = np.where(known, LAST, np.minimum(df, LAST - 1))[keep]
             at = order[keep]
-            rows = _deal_shared(places[at], low[at] | np.uint64(key[0].as_py() << 48), classes, homes)
+            rows = _deal_shared(places[at], low[at] | np.uint64((key[0].as_py() & 0xFFFF) << 48), classes, homes)
         return pa.concat_tables([through.cast(DEALT), pa.Table.from_batches([_table(rows)])])
 
     return run

@@ -8,7 +8,10 @@ meet:
 1. Each window of LENGTH bytes has an anchor: the first of its GRAM-byte grams
    with the smallest hash. Equal windows have equal anchors at the same place
    inside, so documents share a window only if they share an anchor's gram.
-   Windows next to each other with one anchor form a stretch.
+   Windows next to each other with one anchor form a stretch. All texts are read
+   once before that to count the grams with small hashes, which may be anchors;
+   one that is more than one in 2^SHARE of them is an anchor only where a window
+   has no other, so a common phrase doesn't gather what stands around it.
 2. A task puts stretches with equal hashes in suffix order: of each group the
    previous and the next place with a smaller document give the longest
    previous factor, and a stretch that it covers whole is removed whole. What
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.llm import _common
-from echofold.llm._common import table
+from echofold.llm._common import table, written
 from echofold.llm._packed import from_planes, mix, pack, planes, runs, unpack
 
 LENGTH, GRAM = 50, 24
@@ -57,6 +60,12 @@ MANY = 20_000
 #: Windows that are put in order at once.
 SLICE = 100_000
 LAST_ID = 2**63 - 1
+#: Grams with a hash below 1 << SMALL, a quarter of all, are counted: of a window's 27 nearly always the anchor is one.
+SMALL = 62
+#: Of these, more than one in 2^SHARE makes a gram hot; so many bits of a hash below 1 << SMALL find it in a table.
+SHARE, HOT_BITS = 18, 22
+#: Grams that are counted at once, and how many equal ones of them are worth a report.
+COUNTED, REPORTED = 1 << 21, 8
 
 _rng = np.random.RandomState(97)
 _BYTE = _rng.randint(0, 2**63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,24 +83,40 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each gram, sums of bytes times powers, and powers of the inverse."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers(_BASE, n), out=sums[1:])
+    back = powers(_INVERSE, n)
+    return mix((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1]), sums, back
+
+
+def _hot_place(gram: np.ndarray) -> np.ndarray:
+    """Where the table of hot grams has a gram; large hashes have its last place, which is never hot."""
+    return np.minimum(gram >> np.uint64(SMALL - HOT_BITS), np.uint64(1 << HOT_BITS)).astype(np.int64)
+
+
+def stretches(data: np.ndarray, ends: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, further windows, gram hash, text hash) of each stretch.
 
     data holds texts one after the other, ends where each ends; windows lie
     within one text. The text hash covers the whole stretch, from its first
-    window's first byte to its last window's last byte.
+    window's first byte to its last window's last byte. hot is the table
+    of grams that come after all others; whatever it holds, equal windows have
+    equal anchors.
     """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, n), out=sums[1:])
-    back = powers(_INVERSE, n)
-    gram = mix((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
+    gram, sums, back = grams(data)
     # Hash and place in one number: the smallest is the first of those with the smallest hash.
     place_bits = np.uint64((1 << 24) - 1)
-    least = (gram & ~place_bits) | np.arange(len(gram), dtype=np.uint64)
+    least = gram >> np.uint64(1)
+    if hot is not None:
+        least |= hot[_hot_place(gram)].astype(np.uint64) << np.uint64(63)
+    least = (least & ~place_bits) | np.arange(len(gram), dtype=np.uint64)
     wide, reach = least, 1
     span = LENGTH - GRAM + 1
     while reach * 2 <= span:
@@ -106,8 +131,68 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first = np.flatnonzero(inside & np.append(True, (anchor[1:] != anchor[:-1]) | ~inside[:-1]))
     last = np.flatnonzero(inside & np.append((anchor[1:] != anchor[:-1]) | ~inside[1:], True))
     text = mix(((sums[last + LENGTH] - sums[first]) * back[first]) ^ (last - first).astype(np.uint64))
-    # The smallest hash of many is a small number: it is spread again before buckets are made of it.
-    return first, last - first, mix(gram[anchor[first]] + np.uint64(1)), text
+    return first, last - first, gram[anchor[first]], text
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """(document, where in it, bytes) of texts with windows, about `block` bytes at a time; of a long text several pieces."""
+    for batch in batches:
+        group, many = [], 0
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            raw = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
+            # Each piece has all bytes of its windows.
+            for a in range(0, len(raw) - LENGTH + 1, block):
+                group.append((LAST_ID if doc_id is None else doc_id, a, raw[a : a + block + LENGTH - 1]))
+                many += len(group[-1][2])
+                if many >= block:
+                    yield group
+                    group, many = [], 0
+        if group:
+            yield group
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def hot_grams(docs: DataFrame) -> np.ndarray | None:
+    """The table of hot grams, None if there is none.
+
+    Fewer than 2^SHARE grams can be more than one in 2^SHARE, so no more reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(gram, how often) of grams with REPORTED or more of COUNTED; with no gram: how many were counted."""
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size
+            gram = np.sort(np.concatenate(held))
+            ends = runs(gram)
+            n = np.diff(ends)
+            k = np.flatnonzero(n >= REPORTED)
+            rows = [pa.array([None, *gram[ends[k]].view(np.int64).tolist()], pa.int64()), pa.array([size, *n[k].tolist()], pa.int64())]
+            held, size = [], 0
+            return pa.RecordBatch.from_arrays(rows, names=["gram", "n"])
+
+        for group in _pieces(batches, BLOCK):
+            gram = grams(np.concatenate([x for *_, x in group]))[0]
+            held.append(gram[gram < np.uint64(1 << SMALL)])
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield flush()
+        if held:
+            yield flush()
+
+    counts = written(_texts(docs).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    total = counts.where("gram IS NULL").agg(F.sum("n")).head()[0] or 0
+    found = counts.where(F.col("gram").isNotNull() & (F.col("n") > total >> SHARE)).select("gram").toArrow().column(0).to_numpy()
+    if not len(found):
+        return None
+    table = np.zeros((1 << HOT_BITS) + 1, bool)
+    table[_hot_place(found.view(np.uint64))] = True
+    return table
 
 
 EXCHANGED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -245,6 +330,7 @@ def _spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, homes: int) ->
 
 def _find(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
     """The stretches of all texts, dealt by gram; what a task's own texts show to be removed."""
+    hot = docs.sparkSession.sparkContext.broadcast(hot_grams(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -268,52 +354,35 @@ def _find(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
             stay = np.ones(len(doc), bool)
             stay[gone] = False
             k = np.flatnonzero(stay)
-            bucket = ((gram[k] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int64)
+            bucket = ((gram[k] >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             order = np.lexsort((doc[k], bucket))
             k, bucket = k[order], bucket[order]
             ends = runs(bucket)
             for a, b in zip(ends[:-1], ends[1:]):
                 own = k[a:b]
                 step = np.diff(doc[own], prepend=0).view(np.uint64)  # ids in order: small steps, however many buckets there are
-                rows.append((int(bucket[a]), STRETCHES, pack(planes(step, 8), planes(gram[own] & np.uint64((1 << 48) - 1), 5), planes(text[own], 6), planes(first[own], 4), more[own].astype(np.uint8))))
+                rows.append((int(bucket[a]), STRETCHES, pack(planes(step, 8), planes(gram[own], 5), planes(text[own], 6), planes(first[own], 4), more[own].astype(np.uint8))))
             held, data, size, length = [], [], 0, 0
             return _rows(rows)
 
-        def work(group: list[tuple[int, int, np.ndarray]]) -> None:
-            """group: (document, where in it, bytes)."""
-            nonlocal size, length
+        for group in _pieces(batches, BLOCK):
             joined = np.concatenate([x for *_, x in group])
             ends = np.cumsum([len(x) for *_, x in group])
-            first, more, gram, text = stretches(joined, ends)
-            if len(first):
-                which = np.searchsorted(ends, first, "right")
-                shift = np.array([a for _, a, _ in group], np.int64) - (ends - [len(x) for *_, x in group])
-                held.append((np.array([d for d, *_ in group], np.int64)[which], first + shift[which], more, gram, text, first + length))
-                data.append(joined)
-                size, length = size + len(first), length + len(joined)
-
-        for batch in batches:
-            group, many = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
-                doc = LAST_ID if doc_id is None else doc_id
-                # A long text in pieces, each with all bytes of its windows.
-                for a in range(0, len(raw) - LENGTH + 1, BLOCK):
-                    group.append((doc, a, raw[a : a + BLOCK + LENGTH - 1]))
-                    many += len(group[-1][2])
-                    if many >= BLOCK:
-                        work(group)
-                        group, many = [], 0
-                    if size >= FLUSH:
-                        yield flush()
-            if group:
-                work(group)
+            first, more, gram, text = stretches(joined, ends, hot.value)
+            if not len(first):
+                continue
+            which = np.searchsorted(ends, first, "right")
+            shift = np.array([a for _, a, _ in group], np.int64) - (ends - [len(x) for *_, x in group])
+            # The smallest hash of many is a small number: it is spread again before buckets are made of it.
+            held.append((np.array([d for d, *_ in group], np.int64)[which], first + shift[which], more, mix(gram + np.uint64(1)), text, first + length))
+            data.append(joined)
+            size, length = size + len(first), length + len(joined)
             if size >= FLUSH:
                 yield flush()
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, EXCHANGED_SQL)
+    return _texts(docs).mapInArrow(run, EXCHANGED_SQL)
 
 
 def _match(homes: int) -> Callable[[tuple, pa.Table], pa.Table]:

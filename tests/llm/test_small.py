@@ -186,6 +186,31 @@ def test_removals_equal_brute_force(spark, monkeypatch, limits):
     assert got == brute_removals([(i, t.encode()) for i, t, _ in rows])
 
 
+def test_a_common_phrase_gathers_little(spark):
+    r = random.Random(8)
+    phrase = "".join(r.choice("abcdefgh") for _ in range(30))
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    shared = [word(90) for _ in range(5)]
+    rows = [(i, word(40) + phrase + word(40) + (phrase + r.choice(shared) + phrase if i % 3 == 0 else ""), "en") for i in range(200)]
+    docs = documents(spark, rows)
+    hot = suffix_dedup.hot_grams(docs)
+    of_phrase = suffix_dedup.grams(np.frombuffer(phrase.encode(), np.uint8))[0]
+    inside = []
+    for table in (None, hot):
+        anchors = []
+        for _, text, _ in rows:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            _, more, gram, _ = suffix_dedup.stretches(raw, np.array([len(raw)]), table)
+            anchors.append(np.isin(gram, of_phrase).sum())
+            assert int((more + 1).sum()) == len(raw) - suffix_dedup.LENGTH + 1
+        inside.append(int(sum(anchors)))
+    # With hashes above a quarter of all, which are not counted, a gram of the phrase is rarely an anchor.
+    assert inside[1] * 5 < inside[0]
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.removals(docs).collect()}
+    assert got == brute_removals([(i, t.encode()) for i, t, _ in rows])
+    assert suffix_dedup.hot_grams(docs.limit(0)) is None
+
+
 def test_covered_strings_equal_brute_force():
     r = random.Random(12)
     raw = bytes(r.choice(b"a\0") for _ in range(70)) * 4 + bytes(r.choice(b"a\0b") for _ in range(600))
