@@ -195,3 +195,71 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    """SQL that makes the same rows byte by byte, from lists of windows and a folded checksum."""
+    by_byte = ", ".join(f"({b}, {', '.join(str(t[b]) for t in _TABLES)})" for b in range(256))
+    crc = []
+    for b in range(256):
+        for _ in range(8):
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        crc.append(b)
+    made = ", ".join(f"xor(xor(xor(a{i}, b{j}), c{k}), {salt})" for (i, j, k), salt in _PLACES)
+    quarter = BUCKETS // 4
+    apart = """least({bound}, list_sum(list_transform(list_zip({a}.codes, {b}.codes), lambda x: abs(x[1] - x[2]) + 3 * (abs(x[1] - x[2]) = 3)::INT))
+        + ({a}.chk <> {b}.chk)::INT + abs({a}.size - {b}.size)
+        + least(abs({a}.r1 - {b}.r1), 16 - abs({a}.r1 - {b}.r1)) + least(abs({a}.r2 - {b}.r2), 16 - abs({a}.r2 - {b}.r2)))"""
+    alike = lambda b: f"1.0::DOUBLE - {apart.format(bound=BOUND, a='o', b=b)}::DOUBLE / {BOUND}"
+    return f"""
+WITH docs AS (
+    SELECT doc_id, coalesce(text, '') AS text, row_number() OVER w AS rn, count(*) OVER () AS n
+    FROM documents WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text)
+), both_texts AS (
+    SELECT d.rn, d.doc_id, f.rn AS next_rn, d.text, length(d.text) AS n_chars,
+        left(d.text, length(d.text) - length(d.text) // 2) || left(f.text, length(d.text) // 2) AS edited
+    FROM docs d JOIN docs f ON f.rn = d.rn % d.n + 1
+), texts AS (
+    SELECT rn, 'own' AS kind, text FROM both_texts UNION ALL SELECT rn, 'edited', edited FROM both_texts
+), pairs AS MATERIALIZED (
+    SELECT rn, kind, sha256(text) AS sha, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT) AS bytes FROM texts
+), heads AS (
+    SELECT rn, kind, sha, len(bytes) AS n_bytes, least(255, round(8 * log2(len(bytes) + 1)))::INT AS size,
+        (xor(list_reduce(bytes, lambda r, x: xor(r >> 8, ({crc}::BIGINT[])[(xor(r, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) & 255)::INT AS chk
+    FROM (SELECT rn, kind, sha, bytes::BIGINT[] AS bytes FROM pairs)
+), tab(byte, h0, h1, h2) AS (VALUES {by_byte}),
+places AS (SELECT rn, kind, unnest(bytes) AS byte, generate_subscripts(bytes, 1) AS i FROM pairs WHERE len(bytes) >= {SHORT}),
+windows AS (
+    SELECT rn, kind, h0 AS a0, lead(h1, 1) OVER w AS b1, lead(h1, 2) OVER w AS b2, lead(h1, 3) OVER w AS b3,
+        lead(h2, 2) OVER w AS c2, lead(h2, 3) OVER w AS c3, lead(h2, 4) OVER w AS c4
+    FROM places JOIN tab USING (byte) WINDOW w AS (PARTITION BY rn, kind ORDER BY i)
+), counted AS (
+    SELECT rn, kind, bucket, count(*) AS c FROM (SELECT rn, kind, unnest([{made}]) AS bucket FROM windows WHERE c4 IS NOT NULL) GROUP BY ALL
+), full_counts AS (
+    SELECT h.rn, h.kind, list(coalesce(c, 0) ORDER BY v) AS counts
+    FROM heads h CROSS JOIN range({BUCKETS}) r(v) LEFT JOIN counted k ON k.rn = h.rn AND k.kind = h.kind AND k.bucket = v
+    WHERE n_bytes >= {SHORT} GROUP BY ALL
+), quartiles AS (
+    SELECT rn, kind, counts, list_sort(counts)[{quarter}] AS q1, list_sort(counts)[{2 * quarter}] AS q2, list_sort(counts)[{3 * quarter}] AS q3 FROM full_counts
+), digests AS MATERIALIZED (
+    SELECT rn, kind, chk, size, CASE WHEN q3 > 0 THEN 16 * q1 // q3 % 16 ELSE 0 END AS r1, CASE WHEN q3 > 0 THEN 16 * q2 // q3 % 16 ELSE 0 END AS r2,
+        list_transform(counts, lambda c: (c > q1)::INT + (c > q2)::INT + (c > q3)::INT) AS codes
+    FROM heads JOIN quartiles USING (rn, kind)
+    UNION ALL
+    SELECT rn, kind, chk, size, 0, 0, list_transform(range({BUCKETS}), lambda v: (('0x' || substr(sha, (v // 4 * 2 + 1)::INT, 2))::INT >> (v % 4 * 2)::INT) & 3)
+    FROM heads WHERE n_bytes < {SHORT}
+), printed AS MATERIALIZED (
+    SELECT *, printf('%02x%02x%x%x', chk, size, r1, r2) || list_aggregate(list_transform(range({quarter}),
+        lambda m: printf('%02x', codes[4 * m + 1] + 4 * codes[4 * m + 2] + 16 * codes[4 * m + 3] + 64 * codes[4 * m + 4])), 'string_agg', '') AS fingerprint
+    FROM digests
+)
+SELECT t.doc_id, t.n_chars, sha256(t.edited) AS edited_sha256, o.fingerprint, e.fingerprint AS edited_fingerprint,
+    {alike("e")} AS near_edited, {alike("f")} AS near_next
+FROM both_texts t
+JOIN printed o ON o.rn = t.rn AND o.kind = 'own'
+JOIN printed e ON e.rn = t.rn AND e.kind = 'edited'
+JOIN printed f ON f.rn = t.next_rn AND f.kind = 'own'
+"""
+
+
+ORACLE = _oracle()

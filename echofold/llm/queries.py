@@ -21,5 +21,6 @@ ORACLE_SQL = {
     "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op5_warc": warc.ORACLE,
     "op6_chat_format": chat_format.ORACLE,
+    "op9_quartile_digest": quartile_digest.ORACLE,
     "op10_shingle_join": shingle_join.ORACLE,
 }
