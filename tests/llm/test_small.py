@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -605,6 +606,17 @@ def test_comparison_with_the_next_row(spark, odd):
     assert quartile_digest.compare_with_next(odd.where("doc_id = 2")).first()["near_next"] == 1 and quartile_digest.fingerprints(odd).count() == len(ODD)
 
 
+def test_sql_of_digests_over_odd_texts():
+    texts = ["", "a", "ab", "ééé", "abcdefg", "abcdefgh", "x" * 500, "日本語のテキスト" * 40, None, "ab" * 5000]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    docs = [(i, t or "") for i, t in enumerate(texts)][::-1]
+    prints = {t: quartile_digest.digest(t.encode()) for _, t in docs}
+    want = {i: quartile_digest._compare(i, t, prints[t], u, prints[u]) for (i, t), (_, u) in zip(docs, docs[1:] + docs[:1])}
+    assert {r[0]: r for r in con.execute(quartile_digest.ORACLE).fetchall()} == want
+
+
 # 10 Jaccard join
 
 
