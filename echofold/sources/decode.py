@@ -86,6 +86,12 @@ def pixels(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
     return image.repeat(3, 2) if channels == 1 else image[:, :, 2::-1]
 
 
+def gray_of(rgb: np.ndarray, kind: str) -> np.ndarray:
+    """Gray levels, halves to even. Channels are added one after the other, as a matrix product may not do."""
+    r, g, b = GRAY[kind]
+    return np.rint(rgb[..., 0] * r + rgb[..., 1] * g + rgb[..., 2] * b).astype(np.uint8)
+
+
 def _kinds(origin: str) -> tuple[str, ...]:
     """The format of a file on this machine, by its first bytes; both where the file lies elsewhere."""
     if not origin.startswith(("file:", "/")):
@@ -117,7 +123,7 @@ def decode(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                     continue
                 rgb = pixels(height, width, channels, data)
                 for kind in _kinds(origin):
-                    gray = rgb[:, :, 0] if channels == 1 else np.rint(rgb @ np.array(GRAY[kind])).astype(np.uint8)
+                    gray = rgb[:, :, 0] if channels == 1 else gray_of(rgb, kind)
                     mean, contrast, histogram = features_of(rgb, kind)
                     rows.append({"path": origin, "format": kind, "width": width, "height": height, **hashes_of(gray, kind), "mean_brightness": mean, "contrast": contrast, "histogram": histogram, "error": None})
             schema = pa.schema([("path", pa.string()), ("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), *[(h, pa.int64()) for h in HASHES], ("mean_brightness", pa.float32()), ("contrast", pa.float32()), ("histogram", pa.list_(pa.float32())), ("error", pa.string())])

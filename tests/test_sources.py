@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from helpers import jpeg, png
 from pyspark.sql import functions as F
@@ -140,3 +141,12 @@ def test_incremental_matching_equals_one_go(spark, tmp_path):
     got = {(x["a"], x["b"]) for x in spark.read.parquet(str(tmp_path / "pairs")).collect()}
     want = {(x["a"], x["b"]) for x in matching.candidates(spark.createDataFrame(near, schema)).collect()}
     assert got == want and len(want) > 0
+
+
+def test_gray_that_lies_between_two_levels_is_rounded_to_even():
+    # Each of these is a half in the arithmetic of the weights; a matrix product may add in another order.
+    from echofold.sources.decode import gray_of
+
+    rgb = np.array([[[0, 178, 252], [2, 71, 198], [3, 45, 231]]], np.uint8)
+    plain = [round(0.2126 * r + 0.7152 * g + 0.0722 * b) for r, g, b in rgb[0].tolist()]
+    assert gray_of(rgb, "png").tolist() == [plain] == [[146, 66, 50]]
