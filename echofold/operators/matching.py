@@ -26,13 +26,13 @@ def blocks_for(rows: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(LEAST_BLOCKS, -(-rows // block_rows))
 
 
-def self_pairs(rows: DataFrame, blocks: int, key: str = "id") -> DataFrame:
-    """Structs a and b of every pair of rows with a.id < b.id, each once."""
-    packed = rows.select(F.struct(*rows.columns).alias("r"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
+def self_pairs(rows: DataFrame, blocks: int, key: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Structs a and b of every pair of rows with a.id < b.id, each once; with `by`, of rows that are equal in these columns."""
+    packed = rows.select(F.struct(*rows.columns).alias("r"), *by, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("own"))
     # A row stands left in the tiles (own, j) for j >= own and right in the tiles (i, own) for i <= own.
-    left = packed.select("r", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"))
-    right = packed.select(F.col("r").alias("s"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
-    met = left.join(right, ["i", "j"]).where((F.col("i") < F.col("j")) | (F.col(f"r.{key}") < F.col(f"s.{key}")))
+    left = packed.select("r", *by, F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))).alias("j"))
+    right = packed.select(F.col("r").alias("s"), *by, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    met = left.join(right, ["i", "j", *by]).where((F.col("i") < F.col("j")) | (F.col(f"r.{key}") < F.col(f"s.{key}")))
     first = F.col(f"r.{key}") < F.col(f"s.{key}")
     return met.select(F.when(first, F.col("r")).otherwise(F.col("s")).alias("a"), F.when(first, F.col("s")).otherwise(F.col("r")).alias("b")).where(f"a.{key} < b.{key}")
 

@@ -294,6 +294,37 @@ def test_keep_by_pixels_then_bytes_then_order(spark, images, keep):
     assert clustering.keepers(members, sizes).first()["keep"] == keep
 
 
+def test_pairs_within_a_label(spark):
+    rows = spark.range(60).select("id", F.when(F.col("id") % 7 != 0, F.col("id") % 3).alias("label"))
+    got = [(r[0], r[1]) for r in matching.self_pairs(rows, 4, by=("label",)).select("a.id", "b.id").collect()]
+    want = [(a, b) for a in range(60) for b in range(a + 1, 60) if a % 7 and b % 7 and a % 3 == b % 3]
+    assert sorted(got) == want
+
+
+@pytest.mark.parametrize("n", [0, 3, 64, 65])
+def test_hist_distance_in_sql_for_arrays_of_any_size(spark, n):
+    from echofold.plans import views
+
+    views.register(spark)
+    r = random.Random(n)
+    a, b = ([r.random() / 99 for _ in range(n)] for _ in "ab")
+    df = spark.createDataFrame([(a, b)], "a array<float>, b array<float>")
+    want = 1 - sum(min(x, y) for x, y in zip(a, b))
+    assert df.selectExpr("hist_distance(a, b) AS d").first()["d"] == pytest.approx(want, abs=1e-6)
+
+
+def test_sql_functions_joins_pairs_with_nothing(spark):
+    # Each label's pairs are made in tiles by the last join; one more join would shuffle all pairs.
+    import re
+
+    from helpers import DATA
+
+    from echofold.plans.catalogue import QUERIES
+
+    plan = QUERIES["sql_functions"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin ", plan)) == 1
+
+
 # Report
 
 
