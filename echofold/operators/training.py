@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from echofold.functions.features import FEATURES
 from echofold.operators.running import running_sums
 from echofold.operators.scoring import Classifier
+from echofold.session import written
 
 MIN_DISTANCE = 4
 PRECISION = 0.98
@@ -91,6 +92,8 @@ def train(rows: DataFrame, features: tuple[str, ...] = FEATURES, max_iter: int =
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    # Read several times below: what stands behind the rows, all pairs of images for one, runs once.
+    rows = written(rows.select("label", *features), "training")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), *[F.mean(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features]).first()
     if not stats["n"]:
         raise ValueError("no rows to train on")

@@ -378,6 +378,19 @@ def test_groups_at_a_threshold_are_counted_and_not_gathered(spark):
 # Training and evaluation
 
 
+def test_training_reads_what_stands_behind_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    values = [(k % 2, *[float((k * (j + 3)) % 7) for j in range(10)]) for k in range(40)]
+    rows = spark.createDataFrame(values, "label int, " + ", ".join(f"{k} double" for k in FEATURES))
+    assert training.train(rows.mapInArrow(run, rows.schema)).loaded and seen.value == 40
+
+
 def test_negatives_stay_in_their_split(spark):
     bases = spark.range(200).select(F.col("id").alias("base"), F.when(F.col("id") % 3 == 0, "train").otherwise("test").alias("split"))
     got = training.random_negatives(bases, per_base=2).collect()
