@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.session import shared_dir, written
 
-__all__ = ["FOLDS", "buckets", "fold", "held_out", "parts", "shared_dir", "table", "written"]
+__all__ = ["FOLDS", "buckets", "fold", "held_out", "lean", "parts", "shared_dir", "table", "written"]
 
 #: The share of rows that no model learns from: crc32(doc_id as text) mod FOLDS = 0.
 FOLDS = 5
@@ -41,3 +44,25 @@ def held_out(doc_id: Column) -> Column:
 def fold(doc_id: int | None) -> int:
     """The same fold in Python; -1 for a null id."""
     return -1 if doc_id is None else zlib.crc32(str(doc_id).encode()) % FOLDS
+
+
+def _give_back() -> None:
+    """Memory that was freed but is still held goes back to the machine, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for workers that are used again: a task neither inherits nor leaves memory that is only held."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped

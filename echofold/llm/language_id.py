@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm._common import held_out, table
+from echofold.llm._common import held_out, lean, table
 
 ORDER = 4
 #: Each language's tree is fitted on the whole texts of at most so many documents.
@@ -40,8 +40,8 @@ TRAIN_DOCS = 200
 #: More distinct values of lang than this are an error: each has a tree in every task.
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
-#: Bytes that are scored at once.
-BLOCK = 1 << 20
+#: Bytes that are scored at once: each takes some 80 bytes meanwhile, in every worker of an executor.
+BLOCK = 1 << 18
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
 
@@ -261,7 +261,7 @@ def identify(docs: DataFrame, trees: ContextTrees) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *cols], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, PREDICTED)
+    return rows.mapInArrow(lean(run), PREDICTED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,4 +285,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 made = pa.RecordBatch.from_arrays([lang if n == "lang" else part.column(n) for n in names], names=names)
                 yield made.filter(keep)
 
-    return docs.select(*names).mapInArrow(run, docs.select(*names).schema)
+    return docs.select(*names).mapInArrow(lean(run), docs.select(*names).schema)

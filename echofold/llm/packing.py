@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from echofold.llm._common import parts, table, written
+from echofold.llm._common import lean, parts, table, written
 
 WIDTH = 2048
 END = 0
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
 
 
 def plan(counts: dict[int, int], width: int = WIDTH) -> tuple[list[tuple[int, int, int, int, int]], int]:

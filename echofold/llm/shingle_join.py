@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.llm import _common
-from echofold.llm._common import table, written
+from echofold.llm._common import lean, table, written
 from echofold.llm._packed import from_planes, mix, pack, planes, runs, unpack
 from echofold.operators.graph import connected_components
 
@@ -224,7 +224,7 @@ def _deal(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
         if sets:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, DEALT_SQL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), DEALT_SQL)
 
 
 def _count(homes: int):

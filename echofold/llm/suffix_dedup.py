@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echofold.llm import _common
-from echofold.llm._common import table, written
+from echofold.llm._common import lean, table, written
 from echofold.llm._packed import from_planes, mix, pack, planes, runs, unpack
 
 LENGTH, GRAM = 50, 24
@@ -185,7 +185,7 @@ def hot_grams(docs: DataFrame) -> np.ndarray | None:
         if held:
             yield flush()
 
-    counts = written(_texts(docs).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    counts = written(_texts(docs).mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     total = counts.where("gram IS NULL").agg(F.sum("n")).head()[0] or 0
     found = counts.where(F.col("gram").isNotNull() & (F.col("n") > total >> SHARE)).select("gram").toArrow().column(0).to_numpy()
     if not len(found):
@@ -382,7 +382,7 @@ def _find(docs: DataFrame, buckets: int, homes: int) -> DataFrame:
         if held:
             yield flush()
 
-    return _texts(docs).mapInArrow(run, EXCHANGED_SQL)
+    return _texts(docs).mapInArrow(lean(run), EXCHANGED_SQL)
 
 
 def _match(homes: int) -> Callable[[tuple, pa.Table], pa.Table]:

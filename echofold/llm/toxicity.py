@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echofold.llm._common import held_out, table
+from echofold.llm._common import held_out, lean, table
 
 WINDOW, STRIDE = 32, 16
 #: Inputs of a word: numbers that are fitted, and the vectors of the word and of its characters.
@@ -476,7 +476,7 @@ def score_documents(docs: DataFrame, scorer: Scorer) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCORED)
+    return rows.mapInArrow(lean(run), SCORED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,4 +496,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 part = batch.slice(k, 512)
                 yield part.filter(pa.array(shared.value.score(part.column("text").to_pylist()) < 0.5))
 
-    return docs.select(*names).mapInArrow(run, docs.select(*names).schema)
+    return docs.select(*names).mapInArrow(lean(run), docs.select(*names).schema)

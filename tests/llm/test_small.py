@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -688,3 +689,23 @@ def test_components_of_odd_rows(spark, odd):
     assert len(got) == len(ODD) and {c for i, _, c in got if i in (3, 4)} == {3}
     assert {i: n for i, n, _ in got if i in (0, 1, 2)} == {0: 0, 1: 0, 2: 1} and shingle_join.components(odd.limit(0)).count() == 0
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in shingle_join.stage(spark, odd, "").collect()) == [-1, 0, 1, 2, 3, 5, 6, 7]
+
+
+def test_language_holds_little_beside_the_texts():
+    import tracemalloc
+
+    trees = language_id.ContextTrees({"x": [b"abcd efgh " * 50], "y": [b"zyxw vuts " * 50]})
+    texts = ["abcd zyxw " * 2000] * 100
+    trees.predict(texts[:1])
+    tracemalloc.start()
+    found = trees.predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [trees.predict(texts[:1])[0]] * 100 and peak < 32 << 20
+
+
+def test_a_lean_task_hands_on_every_batch():
+    from echofold.llm._common import lean
+
+    batches = [pa.RecordBatch.from_pydict({"x": [k]}) for k in range(3)]
+    assert list(lean(lambda found: (b for b in found))(iter(batches))) == batches
